@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealmark.llm import common, decontaminate, near_dedup, quality, secret_scan
+from sealmark.llm import common, decontaminate, near_dedup, quality, secret_scan, sp_codec
+from sealmark.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*(F.col("redacted").alias("text") if c == "text" else F.length("redacted").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
-STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("secret scans", secrets)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the cleaned texts, decodes them again, and returns each document's digest."""
+    path = vocabulary("piece_bpe_32k.model")
+    return sp_codec.digest(sp_codec.encode(docs, path), path)
+
+
+STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("secret scans", secrets), ("sentencepiece", sentencepiece)]
 
 #: The stages' sketches and token ids have no SQL.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, quality, secret_scan
+from . import decontaminate, near_dedup, quality, secret_scan, sp_codec, token_output
 from .common import read
 
 
@@ -24,11 +24,31 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.folder(spark)
+    token_output.write(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_output.read_digests(spark, path)
+
+
+def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    return sp_codec.digest(sp_codec.encode(read(spark, sf_dir, "documents"), path), path)
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets,
         "op4_near_dedup": near_duplicates,
         "op5_decontamination": leaks,
+        "op6_token_output": token_files,
+        "op7_sentencepiece": sentencepiece_codec,
         "op8_quality_rules": quality_rules,
     }
 
