@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, quality, secret_scan, sp_codec, token_output
+from . import decontaminate, lang_id, lm_score, near_dedup, quality, secret_scan, sp_codec, token_output
 from .common import read
 
 
@@ -42,14 +43,27 @@ def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.digest(sp_codec.encode(read(spark, sf_dir, "documents"), path), path)
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = lang_id.fit(docs.filter(lang_id.fold("doc_id") != 1))
+    held = F.coalesce(lang_id.fold("doc_id") == 1, F.lit(False)).alias("held_out")
+    return lang_id.predict(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets,
+        "op3_lm_score": model_scores,
         "op4_near_dedup": near_duplicates,
         "op5_decontamination": leaks,
         "op6_token_output": token_files,
         "op7_sentencepiece": sentencepiece_codec,
         "op8_quality_rules": quality_rules,
+        "op10_language_id": languages,
     }
 
 
