@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, lm_score, near_dedup, quality, secret_scan, sp_codec, token_output
+from . import decontaminate, lang_id, lm_score, near_dedup, passage_dedup, quality, secret_scan, sp_codec, token_output
 from .common import read
 
 
@@ -54,6 +54,10 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read(spark, sf_dir, "documents"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets,
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op6_token_output": token_files,
         "op7_sentencepiece": sentencepiece_codec,
         "op8_quality_rules": quality_rules,
+        "op9_passage_dedup": repeated_passages,
         "op10_language_id": languages,
     }
 
