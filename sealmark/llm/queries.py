@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lang_id, lm_score, near_dedup, passage_dedup, quality, secret_scan, sp_codec, token_output
+from . import decontaminate, html_extract, lang_id, lm_score, near_dedup, passage_dedup, quality, secret_scan, sp_codec, token_output
 from .common import read
 
 
@@ -50,6 +50,10 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model).select("doc_id", held, "lang_pred", "score")
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets,
+        "op2_html_extract": page_texts,
         "op3_lm_score": model_scores,
         "op4_near_dedup": near_duplicates,
         "op5_decontamination": leaks,
