@@ -55,15 +55,16 @@ def slots(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
             continue
         size = len(c) - n + 1
         use = is_letter[:size].copy()
+        within = np.ones(size, bool)
         h = c[:size] * _SEEDS[n - 1]
         for k in range(1, n):
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + c[k : size + k] * _SEEDS[k - 1]
             use |= is_letter[k : size + k]
-            use &= ~last[k - 1 : size + k - 1]
+            within &= ~last[k - 1 : size + k - 1]
         if n == 3:
             use &= is_letter[1 : size + 1] | (is_letter[:size] & is_letter[2 : size + 2])
         h = (h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39)
-        place = np.flatnonzero(use)
+        place = np.flatnonzero(use & within)
         found.append((h[place] >> np.uint32(16)).astype(np.uint16))
         edges.append(np.searchsorted(place, at))
     return found, edges, some
