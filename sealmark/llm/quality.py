@@ -2,7 +2,7 @@
 
 A line is normalised to its words (A-Z lowered) joined by one space. Per host, a line's frequency is
 the number of distinct documents with it. So that a document and its edited copies count about
-once, documents are told apart by a sketch: the least hash among their words. Two independent
+once, documents are told apart by a sketch: the least hash among their pairs of words. Two independent
 documents seldom share it; copies with a few edited words nearly always do. Lines above the limit
 (`line_share` of the host's documents by sketch, and at least `line_least`) are removed, and a
 document that keeps less than `keep_share` of its words is depleted and rejected.
@@ -84,7 +84,10 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     least = np.zeros(t.n, U)
     has = t.n_words > 0
     if n:
-        least[has] = np.minimum.reduceat(mix(low), t.word_at[:-1][has])
+        pair = mix(low + U(3) * mix(np.append(low[1:], U(0))))
+        ends = t.word_at[1:][has] - 1
+        pair[ends] = np.where(t.n_words[has] > 1, U(2**64 - 1), low[ends])  # a last word begins no pair
+        least[has] = np.minimum.reduceat(pair, t.word_at[:-1][has])
     out["sketch"] = least
     return out
 
@@ -123,7 +126,7 @@ def rate(
     text: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     host: str = "source",
-    line_share: float = 0.02,
+    line_share: float = 0.03,
     line_least: int = 20,
     keep_share: float = 0.5,
     broadcast_rows: int = 200_000,
