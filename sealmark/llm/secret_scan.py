@@ -52,15 +52,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novelty(candidate: str, context: str, level: int = 3) -> float:
-    """Compressed bytes that the candidate adds, per byte of its own, given its context and the identifiers."""
-    primer = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + context.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=level, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
-    raw = candidate.encode("utf-8", "replace")
-    return (len(press.compress(raw)) - len(press.compress(b""))) / max(1, len(raw))
+_primer = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+_press = zstandard.ZstdCompressor(level=3, dict_data=_primer, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = 0.6, window: int = 400, near: int = 80) -> list[tuple[int, int, int]]:
+def novelty(candidate: str, context: str) -> float:
+    """Compressed bytes that the candidate adds to its context, per byte of its own; identifiers prime both."""
+    around, raw = context.encode("utf-8", "replace") + b"\n", candidate.encode("utf-8", "replace")
+    return (len(_press.compress(around + raw)) - len(_press.compress(around))) / max(1, len(raw))
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = 0.5, window: int = 400, near: int = 80) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the incompressible candidates in a sensitive context."""
     out = []
     k, taken = 0, []  # base spans, merged
@@ -87,7 +89,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = 0.6,
     return out
 
 
-def scan_text(text: str | None, least: float = 0.6) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan_text(text: str | None, least: float = 0.5) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The fixed patterns' spans, and all spans."""
     if not text:
         return [], []
@@ -112,7 +114,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
 SCHEMA = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint"
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.6, redact: bool = False) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5, redact: bool = False) -> DataFrame:
     """keep's columns and, for each row, counts by kind, a digest of the fixed patterns' spans, and all spans.
 
     With redact, also `text` with every span replaced. No shuffle; rows come out as they went in.
