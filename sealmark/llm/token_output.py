@@ -15,6 +15,7 @@ Null ids come first. An empty input makes an empty table.
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from . import common
 
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 900_000
 
 class Encoder:
     def __init__(self, path: str):
@@ -39,6 +40,9 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: a piece and its ids as packed 32-bit integers; the space before a piece is left out
         self.seen: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+        self.met = np.zeros(1 << 24, bool)
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str] | None:
         """The first word, and each other word with the line feed before it or, implied, the space; or None.
@@ -55,26 +59,65 @@ class Encoder:
         """Each text's ids, packed."""
         cut = [self.pieces(t) if t else None for t in texts]
         whole = [k for k, c in enumerate(cut) if c is None]
-        first = [c[0] for c in cut if c]
         out: list = [b""] * len(texts)
         for k, e in zip(whole, self._library([texts[k] for k in whole]), strict=True):
             out[k] = e
-        rest = [c[1:] if c else [] for c in cut]
-        wanted = list(set(chain.from_iterable(rest)).difference(self.seen))
-        fresh = dict(zip(wanted, self._library([x if x[0] == "\n" else " " + x for x in wanted]), strict=True))
-        room = max(0, REMEMBERED - len(self.seen))
-        if room >= len(fresh):
-            self.seen.update(fresh)
-            get = self.seen.__getitem__
-        else:
-            self.seen.update((w, fresh[w]) for w in wanted[:room])
-            seen = self.seen.get
-
-            def get(p: str) -> bytes:
-                return seen(p) or fresh[p]
-
-        for k, head in zip((k for k, c in enumerate(cut) if c), self._library(first), strict=True):
+        firsts = [k for k, c in enumerate(cut) if c]
+        rest = {k: cut[k][1:] for k in firsts}
+        added = self._learn(set(chain.from_iterable(rest.values())).difference(self.seen))
+        get = self.seen.__getitem__
+        for k, head in zip(firsts, self._library([cut[k][0] for k in firsts]), strict=True):
             out[k] = head + b"".join(map(get, rest[k]))
+        self._forget(added)
+        return out
+
+    def _forget(self, added: list[str]) -> None:
+        """Of new pieces, keeps all while there is much room, then those met before, then none."""
+        if 2 * len(self.seen) < REMEMBERED:
+            return
+        at = np.fromiter(map(hash, added), np.int64, len(added)) & (len(self.met) - 1)
+        again = self.met[at] & (len(self.seen) <= REMEMBERED)
+        self.met[at] = True
+        for w, keep in zip(added, again.tolist(), strict=True):
+            if not keep:
+                del self.seen[w]
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Puts words into seen; returns those that were not there.
+
+        A letter or digit and the punctuation after it are always cut, so a word that ends in
+        punctuation is its beginning and its end, and only new beginnings go to the library.
+        """
+        split = []
+        need = set()
+        for w in words:
+            base = w.rstrip(string.punctuation)
+            if len(base) != len(w) and base and base[-1].isalnum():
+                split.append((w, base))
+                need.add(base)
+            else:
+                need.add(w)
+        new = list(need.difference(self.seen))
+        self.seen.update(zip(new, self._listed(new), strict=True))
+        ends = self.ends
+        fresh = [w[len(base) :] for w, base in split if w[len(base) :] not in ends]
+        ends.update(zip(fresh, self._library(fresh), strict=True))
+        self.seen.update((w, self.seen[base] + ends[w[len(base) :]]) for w, base in split)
+        return [*new, *(w for w, _ in split)]
+
+    def _listed(self, words: list[str], lines: int = 2000) -> list[bytes]:
+        """Ids of words with what stands before them, many to a text, a line each."""
+        out: list[bytes] = []
+        pages = [words[k : k + lines] for k in range(0, len(words), lines)]
+        texts = ["".join(w if w[0] == "\n" else "\n " + w for w in page) for page in pages]
+        for page, e in zip(pages, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            at = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            if len(at) != len(page) + 1 or at[0]:
+                raise AssertionError("the vocabulary joins line feeds to other text")
+            flat = ids.tobytes()
+            a = (4 * at).tolist()
+            out += [flat[x + 4 * (w[0] != "\n") : y] for w, x, y in zip(page, a[:-1], a[1:], strict=True)]
         return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -102,7 +145,7 @@ def encode(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         coder = encoder(path)
         for b in batches:
             column = common.texts_of(b.column(1))
-            for low, high in common.steps(column, 1 << 22):
+            for low, high in common.steps(column, 1 << 19):
                 ids = coder.encode(column.slice(low, high - low).to_pylist())
                 n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
                 at = np.zeros(len(ids) + 1, np.int64)
@@ -137,7 +180,7 @@ def write(
         .option("parquet.page.size", page_bytes)
         .option("parquet.dictionary.page.size", 512 << 10)
         .option("parquet.page.row.count.limit", page_rows)
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .parquet(path)
     )
 
