@@ -15,7 +15,8 @@ from ..functions import builders, commitments, compose
 from ..functions.labels import AXES, digest_hex, is_label, is_operand, label, label_width, sigma_axis, width
 from ..operators import registry, stats, witness
 from ..operators.address import address, address_label, canonicalize, with_labels
-from ..sources.tensors import safetensors_layout, gguf_layout
+from ..functions.text import quick_check, to_nfc, utf8_valid
+from ..sources.tensors import gguf_layout, safetensors_layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,6 +190,18 @@ def json_member(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", json_get("props", "k").alias("k"), json_kind("props").alias("kind"))
 
 
+@query("select doc_id, nfc_normalize(text) as composed, true as valid from documents where text is not null")
+def nfc_documents(spark, sf_dir):
+    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", to_nfc(apart).alias("composed"), utf8_valid("text").alias("valid"))
+
+
+@query("select 'yes' as answer, count(*) as n from customer union all select 'maybe', count(*) from customer union all select 'no', count(*) from customer")
+def nfc_quick_checks(spark, sf_dir):
+    forms = F.array(F.col("c_name"), F.concat("c_name", F.lit("e\u0301")), F.concat("c_name", F.lit("\u212b")))
+    return read(spark, sf_dir, "customer").select(F.explode(forms).alias("t")).groupBy(quick_check("t").alias("answer")).agg(F.count("*").alias("n"))
+
+
 # --- S-expressions and code modules ---------------------------------------------------------------------
 
 

@@ -105,6 +105,24 @@ def tensors(files: DataFrame, format_: str, path: str = "path", content: str = "
     return files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInArrow(run, TENSORS)
 
 
+def gguf_keys(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, name, type_id, bytes) of each metadata key of each GGUF file; rejected files have no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for where, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows += [(where, k.name.decode("utf-8", "replace"), k.type_id, k.end - k.start) for k in gguf.read(raw or b"").keys]
+                except Rejected:
+                    continue
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["path", "name", "type_id", "bytes"])
+
+    return files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInArrow(run, "path string, name string, type_id int, bytes bigint")
+
+
 def read_models(spark, path: str, format_: str) -> DataFrame:
     """(path, content) of the model files under a path, by their ending."""
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{format_}").option("recursiveFileLookup", "true").load(path).select("path", "content")

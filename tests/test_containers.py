@@ -145,3 +145,10 @@ def test_tensor_tables(spark):
     assert [int(r["bytes"]) for r in tensors.tensors(g, "gguf").collect()] == [16]
     ranges = spark.createDataFrame([("f", 0, 4, 6), ("f", 4, 6, 6), ("g", 0, 2, 6), ("g", 3, 6, 6)], "file string, b long, e long, n long")
     assert {r["file"]: r["ok"] for r in tensors.covers(ranges, "file", "b", "e", "n").collect()} == {"f": True, "g": False}
+
+
+def test_keys_of_files(spark):
+    from sealmark.sources import tensors
+
+    files = spark.createDataFrame([("f", gguf.build([("a", 8, text("x")), ("b", 4, b"\1\0\0\0")], [])), ("g", b"bad"), ("n", None)], "path string, content binary")
+    assert sorted(map(tuple, tensors.gguf_keys(files).collect())) == [("f", "a", 8, 9), ("f", "b", 4, 4)]
