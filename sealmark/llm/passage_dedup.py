@@ -4,8 +4,8 @@ Passages sit anywhere in a line, so paragraphs are cut by content: among every S
 of a text the one whose two words have the least hash is chosen, and the LENGTH words from it on are a
 paragraph. A passage of SPREAD + LENGTH words or more therefore brings the same paragraph into every
 document that has it, whatever stands around it. Paragraphs are signed by MinHash over runs of five
-words; bands of one value (0.8 similar paragraphs share one of three with a probability of 0.992) make
-collisions, collisions are verified by exact Jaccard similarity, and verified links make clusters by
+words; bands of one value and the first two words, by which the place was chosen (0.8 similar
+paragraphs of one beginning share one of three with a probability of 0.992), make collisions, collisions are verified by exact Jaccard similarity, and verified links make clusters by
 connected components. A cluster that lies in two documents or more repeats: its paragraphs in the document
 of the least id stay, and all others are to be removed. Overlapping paragraphs of a document are
 reported as one span.
@@ -68,8 +68,9 @@ def paragraphs(column: pa.Array) -> dict[str, np.ndarray]:
     places = np.flatnonzero(fits)
     if not len(places):
         return {"doc": places, "start": places, "end": places, "hash": places.astype(U), "bands": np.empty((0, BANDS), U), "sets": np.empty((0, LENGTH - WIDTH + 1), np.uint32)}
-    pair = mix(h[places] + mix(h[places + 1]))
-    chosen = places[least_places(pair, t.doc[places], SPREAD)]
+    pair_of = np.zeros(n, U)
+    pair_of[places] = mix(h[places] + mix(h[places + 1]))
+    chosen = places[least_places(pair_of[places], t.doc[places], SPREAD)]
     grid = h[chosen[:, None] + np.arange(LENGTH)]
     k = LENGTH - WIDTH + 1
     shingles = np.zeros((len(chosen), k), U)
@@ -78,7 +79,8 @@ def paragraphs(column: pa.Array) -> dict[str, np.ndarray]:
         shingles = mix(shingles * U(3) + grid[:, j : j + k])
     for j in range(LENGTH):
         whole = mix(whole * U(3) + grid[:, j])
-    bands = np.stack([mix(mix(shingles ^ mix(np.array([b + 1], U))).min(axis=1) + U(b + 1)) for b in range(BANDS)], axis=1)
+    start = mix(pair_of[chosen])  # paragraphs that begin elsewhere are other ones, however much they overlap
+    bands = np.stack([mix(mix(shingles ^ mix(np.array([b + 1], U))).min(axis=1) + U(b + 1) + start) for b in range(BANDS)], axis=1)
     first = t.chars[t.offsets[t.doc[chosen]]]
     sets = np.sort((shingles >> U(32)).astype(np.uint32), axis=1)
     return {"doc": t.doc[chosen], "start": t.chars[t.starts[chosen]] - first, "end": t.chars[t.ends[chosen + LENGTH - 1]] - first, "hash": whole, "bands": bands, "sets": sets}
@@ -113,24 +115,28 @@ def units(df: DataFrame) -> DataFrame:
     return frame.mapInArrow(run, "doc_id bigint, start bigint, end bigint, node bigint, bands array<bigint>, set binary")
 
 
-def repeats(df: DataFrame, threshold: float = 0.8) -> DataFrame:
+def repeats(df: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, start, end, cluster_id, n_docs, removed) of every repeated passage of df (doc_id, text).
 
     start and end are code points, end exclusive; n_docs the documents that the cluster lies in.
     """
-    rows = common.table(units(df), "paragraphs")
-    bands = rows.select("node", F.explode("bands").alias("band")).distinct()
-    often = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    shared = common.table(bands.join(often, "band").select("node", "band"), "shared")
-    some = shared.select("node").distinct()
-    sets = common.table(rows.select("node", "set").join(some, "node").groupBy("node").agg(F.min("set").alias("set")), "sets")
-    comps, _ = similar_groups(shared, sets, threshold)
+    rows = common.table(units(df).drop("set"), "paragraphs")
+    # bands that different paragraphs share, by the least and the greatest of them
+    spread = rows.select("node", F.explode("bands").alias("band"))
+    short = F.col("node").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # the low half tells nodes of a band apart well enough, in half the room
+    often = spread.groupBy("band").agg(F.min(short).alias("lo"), F.max(short).alias("hi")).filter("lo < hi").select("band")
+    often = common.maybe_broadcast(common.table(often, "shared-bands"), broadcast_rows)
+    # their sets come from the texts again: all sets would take more room than the texts
+    again = units(df).select("node", "set", F.explode("bands").alias("band")).join(often, "band")
+    shared = common.table(again.select("node", "band", "set"), "shared-paragraphs")
+    comps, _ = similar_groups(shared.select("node", "band").distinct(), shared.select("node", "set"), threshold)
 
     lean = rows.select("node", "doc_id", "start", "end")
     twice = lean.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("node")
     named = twice.join(comps, "node", "full").select("node", F.coalesce("comp", "node").alias("cluster_id"))
     members = common.table(lean.join(named, "node").select("cluster_id", "doc_id", "start", "end"), "members")
     docs = members.select("cluster_id", "doc_id").distinct().groupBy("cluster_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper")).filter("n_docs > 1")
+    docs = common.table(docs, "clusters")
     found = members.join(docs, "cluster_id").withColumn("removed", F.col("doc_id") != F.col("keeper"))
     # spans of one text that overlap and share their fate become one
     mine = W.partitionBy("doc_id", "removed").orderBy("start", "end", "cluster_id")
