@@ -9,32 +9,37 @@ from sealmark.llm import common, decontaminate, near_dedup, quality, secret_scan
 from sealmark.llm.queries import vocabulary
 
 
+@common.bounded
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject; a document without an id can't be named, and stays."""
     rejected = common.table(quality.rate(docs).filter("not kept").select("doc_id").distinct(), "rejected")
     return docs.join(common.maybe_broadcast(rejected, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
 
 
+@common.bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
     return near_dedup.keep_one(docs)
 
 
+@common.bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
+@common.bounded
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark."""
     found = secret_scan.scan(docs, keep=tuple(docs.columns), redact=True)
     return found.select(*(F.col("redacted").alias("text") if c == "text" else F.length("redacted").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
+@common.bounded
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the cleaned texts, decodes them again, and returns each document's digest."""
     path = vocabulary("piece_bpe_32k.model")
-    return sp_codec.digest(sp_codec.encode(docs, path), path)
+    return sp_codec.encode(docs, path, digests=True, small=True)
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("secret scans", secrets), ("sentencepiece", sentencepiece)]

@@ -11,10 +11,11 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at (a longer single text makes its own step).
 STEP_BYTES = 1 << 19
+#: Bytes of a batch between the JVM and a Python worker; a longer single row makes its own batch.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,8 +63,8 @@ def drop_table(df: DataFrame) -> None:
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has no more than so many rows; looks at no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has no more than so many rows, by a distributed count (of a table's, its footers are enough)."""
+    return df.count() <= rows
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -69,6 +72,17 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def bounded(f: Callable) -> Callable:
+    """f(spark, ...) with Arrow batches of BATCH_BYTES at most, so that a Python worker holds little at a time."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return f(spark, *args)
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

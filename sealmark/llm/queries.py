@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, lang_id, lm_score, near_dedup, passage_dedup, quality, secret_scan, sp_codec, token_output
-from .common import read
+from .common import bounded, read
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    return sp_codec.digest(sp_codec.encode(read(spark, sf_dir, "documents"), path), path)
+    return sp_codec.encode(read(spark, sf_dir, "documents"), path, digests=True)
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_secret_scan": secrets,
         "op2_html_extract": page_texts,
         "op3_lm_score": model_scores,
@@ -75,6 +75,7 @@ def queries() -> dict:
         "op9_passage_dedup": repeated_passages,
         "op10_language_id": languages,
     }
+    return {name: bounded(q) for name, q in found.items()}
 
 
 #: Runs of five words as in decontaminate, by string; DuckDB.
