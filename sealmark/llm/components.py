@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -74,48 +75,116 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: int = 3, pairs_per_row: int = 4) -> tuple[DataFrame, DataFrame]:
+def elements(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, x): a row for each element of the nodes' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(1)]
+            size = [len(x) for x in parts]
+            if sum(size):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), size)), pa.array(np.concatenate(parts).view(np.int32))], ["node", "x"])
+
+    return sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(run, "node bigint, x int")
+
+
+def rare_pairs(rows: DataFrame, sets: DataFrame, threshold: float, rare: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of different components, nodes that need no other pairs), by a prefix filter.
+
+    rows has (node, band, comp). Sets of n and k elements with a similarity of t share t / (1 + t) (n + k)
+    elements or more; so, with k the least size in a node's bands, a set of n that shares q may miss
+    n - q, and similar sets have a common element among their first n - q + 1, whatever the order.
+    Ordered by how many sets have them, these are often few enough: a node is done if all of its first
+    elements are in `rare` sets at most, since then few other sets can be similar and they are found by
+    these elements.
+    """
+    n = (F.octet_length("set") / 4).cast("bigint").alias("n")
+    nodes = rows.select("node").distinct()
+    sized = sets.join(nodes, "node", "left_semi").select("node", n)
+    least = rows.join(sized, "node").groupBy("band").agg(F.min("n").alias("k"))
+    need = rows.join(least, "band").groupBy("node", "comp").agg(F.min("k").alias("k")).join(sized, "node")
+    shared = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.greatest(F.col("k"), F.ceil(threshold * F.col("n") - 1e-9))) - 1e-9)
+    need = common.table(need.select("node", "comp", "n", (F.col("n") - shared + 1).alias("p")), "prefixes")
+
+    held = common.table(elements(nodes, sets), "elements")
+    counts = held.groupBy("x").agg(F.count("*").alias("k"), F.min("node").alias("only")).filter(F.col("k") <= rare)
+    counts = common.table(counts, "rare-elements")
+    alone = counts.filter("k = 1").groupBy(F.col("only").alias("node")).agg(F.count("*").alias("u"))
+    some = held.join(counts.filter("k > 1").select("x", "k"), "x")
+    place = F.row_number().over(W.partitionBy("node").orderBy("k", "x"))
+    placed = some.withColumn("r", place).join(need, "node").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    first = common.table(placed.filter("u + r <= p").select("node", "x", "comp"), "first-elements")
+    several = some.groupBy("node").agg(F.count("*").alias("s"))
+    done = need.join(alone, "node", "left").join(several, "node", "left").filter(F.coalesce("u", F.lit(0)) + F.coalesce("s", F.lit(0)) >= F.col("p")).select("node")
+    done = common.table(done, "done")
+    marked = first.join(done.withColumn("hard", F.lit(True)), "node", "left")
+    a, b = (marked.select("x", F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("hard").alias("h" + k)) for k in "ab")
+    pairs = a.join(b.withColumnRenamed("x", "y"), (F.col("x") == F.col("y")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("ha").isNotNull() | F.col("hb").isNotNull()))
+    return pairs.select("a", "b"), done
+
+
+def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: int = 3, pairs_per_row: int = 4, rare: int = 16, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """((node, comp) of nodes with a link, the links found) for nodes that share a band.
 
     bands has (node, band), one row for each; sets has (node, set). Two nodes are linked if they share
-    a band and their sets are similar. Pairs within a band are not all written out. First each band
-    compares its members with one of them, the member that collides most. A band whose members are in
-    one component then needs nothing more: further links could not change the components. Members of
-    different components are compared through further leaders, and once few pairs are left (or after
-    `stars` rounds, however many are left) all pairs between different components are.
+    a band and their sets are similar. Pairs within a band are not all written out. A band's leader is
+    its member that collides most. First each node is compared with one leader, the one of its bands'
+    leaders that collides most. A band whose members are in one component then needs nothing more:
+    further links could not change the components. In the other bands, nodes with enough rare elements
+    are compared with those that share these (rare_pairs) and are done. Of the others, members are
+    compared with leaders of other components, and a leader that all were compared with leaves; once
+    few pairs are left (or after `stars` rounds, however many are left) all pairs between different
+    components are.
     """
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = common.table(bands.join(sizes, "band"), "shared-bands")
     weight = shared.groupBy("node").agg(F.sum("size").alias("w"))
     rows = common.table(shared.select("node", "band").join(weight, "node"), "band-rows")
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    comps: DataFrame | None = None
-    turn = 0
-    while True:
-        turn += 1
-        leader = rows.groupBy("band").agg(F.max(F.struct("w", "node"))["node"].alias("leader"))
-        pairs = rows.join(leader, "band").filter("node <> leader" + (" and comp <> leader_comp" if "leader_comp" in rows.columns else ""))
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = common.table(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = common.table(similar(pairs, sets, threshold), "similar")
-        links = new if links is None else links.union(new)
-        comps = components(links)
-        # what is left: bands with members of different components, without the leaders, whose pairs are all done
-        left = rows.select("node", "band", "w").join(leader, "band").filter("node <> leader").drop("leader")
-        left = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-        left = common.table(left.join(mixed, "band"), "mixed-bands")
-        if left.isEmpty():
-            return comps, links
-        per = left.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("p"))
-        if turn >= stars or per.agg(F.sum("p")).first()[0] <= 2 * pairs_per_row * rows.count():
+    colliding = common.maybe_broadcast(rows.select("node").distinct(), broadcast_rows)
+    sets = common.table(sets.join(colliding, "node").groupBy("node").agg(F.min("set").alias("set")), "sets")
+
+    def checked(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = common.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        return common.table(similar(pairs, sets, threshold), "similar"), pairs if tried is None else tried.union(pairs)
+
+    def several(left: DataFrame) -> DataFrame:
+        many = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
+        return left.join(many, "band").select("node", "band", "w", "comp")
+
+    def mixed(left: DataFrame, comps: DataFrame) -> DataFrame:
+        """The rows of bands with different components, with each member's component."""
+        left = left.select("node", "band", "w").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return common.table(several(left), "mixed-bands")
+
+    leader = rows.groupBy("band").agg(F.max(F.struct("w", "node")).alias("l"))
+    pick = rows.join(leader, "band").filter(F.col("node") != F.col("l.node")).groupBy("node").agg(F.max("l")["node"].alias("to"))
+    links, tried = checked(pick.select(F.col("node").alias("a"), F.col("to").alias("b")), None)
+    comps = components(links)
+    rows = mixed(rows, comps)
+    if rows.isEmpty():
+        return comps, links
+    pairs, done = rare_pairs(rows, sets, threshold, rare)
+    new, tried = checked(pairs, tried)
+    links = links.union(new)
+    rows = common.table(several(rows.join(done, "node", "left_anti")), "mixed-bands")
+    for _ in range(stars):
+        per = rows.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        left, size = per.agg(F.sum(F.expr("n * n - same")) / 2, F.sum("n")).first()
+        if not size or left <= pairs_per_row * size:
             break
-        rows = left.select("node", "band", "w")
-    a, b = left.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), left.select("band", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "band").filter("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(common.table(similar(pairs, sets, threshold), "similar"))
+        leader = rows.groupBy("band").agg(F.max(F.struct("w", "node", "comp")).alias("l"))
+        led = rows.join(leader, "band").select("node", "band", "w", "comp", F.col("l.node").alias("to"), F.col("l.comp").alias("to_comp"))
+        new, tried = checked(led.filter("comp <> to_comp").select(F.col("node").alias("a"), F.col("to").alias("b")), tried)
+        links = links.union(new)
+        rows = mixed(led.filter("node <> to"), components(links))
+    if not rows.isEmpty():
+        # a pair is made in the first band that it shares, once
+        own = rows.groupBy("node").agg(F.collect_set("band").alias("all"))
+        full = common.table(rows.select("band", "node", "comp").join(own, "node"), "last-bands")
+        a, b = (full.select(F.col("band").alias("band" + k), F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("all").alias("all" + k)) for k in "ab")
+        first = F.array_min(F.array_intersect("alla", "allb")) == F.col("banda")
+        pairs = a.join(b, (F.col("banda") == F.col("bandb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first)
+        new, tried = checked(pairs.select("a", "b"), tried)
+        links = links.union(new)
     return components(links), links

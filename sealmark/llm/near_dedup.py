@@ -148,9 +148,9 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = False)
     sig = common.table(signatures(df, weighted), "signatures")
     keys = sig.groupBy("key").agg(F.min("doc_id").alias("node"))
     nodes = common.table(keys, "texts")
-    own = sig.join(nodes.select("node", F.col("key").alias("_key")), [F.col("key") == F.col("_key"), F.col("doc_id") == F.col("node")], "left_semi")
+    own = sig.select("doc_id", "key", "bands").join(nodes.select("node", F.col("key").alias("_key")), [F.col("key") == F.col("_key"), F.col("doc_id") == F.col("node")], "left_semi")
     bands = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct()
-    comps, links = similar_groups(bands, own.select(F.col("doc_id").alias("node"), "set"), threshold)
+    comps, links = similar_groups(bands, sig.select(F.col("doc_id").alias("node"), "set"), threshold)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     counted = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.join(comps, "node", "left").join(counted, "node", "left")
@@ -161,7 +161,10 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = False)
 
 
 def keep_one(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """df's rows of one document of each class, the one whose doc_id is least, once; rows with a null text or id stay."""
+    """df's rows of one document of each class, the one whose doc_id is least; rows with a null text or id stay.
+
+    Repeated rows of that document stay repeated: they have one id.
+    """
     gone = classes(df, threshold).filter("doc_id <> class_id").select("doc_id").distinct()
     left = df.join(common.table(gone, "copies"), "doc_id", "left_anti").select(*df.columns)
     return left
