@@ -1,16 +1,25 @@
-"""Passages that repeat across documents, by MinHash banding of short paragraphs.
-
-Passages sit anywhere in a line, so paragraphs are cut by content: among every SPREAD consecutive places
-of a text the one whose two words have the least hash is chosen, and the LENGTH words from it on are a
-paragraph. A passage of SPREAD + LENGTH words or more therefore brings the same paragraph into every
-document that has it, whatever stands around it. Paragraphs are signed by MinHash over runs of five
-words; bands of one value and the first two words, by which the place was chosen (0.8 similar
-paragraphs of one beginning share one of three with a probability of 0.992), make collisions, collisions are verified by exact Jaccard similarity, and verified links make clusters by
-connected components. A cluster that lies in two documents or more repeats: its paragraphs in the document
-of the least id stay, and all others are to be removed. Overlapping paragraphs of a document are
-reported as one span.
-
-Null texts, null ids and texts of fewer than LENGTH words have no paragraphs. Repeats within one document
+"""Passages that repeat across documents: repeated runs of words, whole, and paragraphs that MinHash finds alike.
+
+Exact repeats may stand anywhere in a line. Among every SPREAD consecutive places of a text the one whose two
+words have the least hash begins a seed, a run of SEED words. So a passage of SEED + SPREAD - 1 = 20 words
+or more brings the same seeds into every document that has it, overlapping ones, and at either end SPREAD - 1
+words or fewer that no seed of it covers. Where the seeds of one hash don't all follow the same seed (or are not
+all followed by the same), a passage may end: there every run of SEED words that begins up to SPREAD - 1 places
+further out is compared too, in all documents. A repeated passage of 20 words or more is thus covered
+to its last word.
+
+Near repeats: a text is cut at the places whose two words have the least hash among RADIUS places to either
+side, and each paragraph between two cuts (more than RADIUS words) is signed by MinHash over its runs of five words: BANDS bands of ROWS
+values (0.8 similar paragraphs share one with a probability of 0.986). Collisions are verified by exact
+Jaccard similarity, and verified links make clusters by connected components. Cuts seldom fall on the ends of
+what is alike, so a paragraph's span reaches from the first to the last word within it that a repeated run
+covers: it joins runs across edited words, and takes in no words around them.
+
+A cluster (a run, or alike paragraphs) that lies in two documents or more repeats: in the document of the
+least id it stays, and all others are to be removed. What overlaps in a document and shares its fate is one
+span; spans of fewer than LENGTH words are not reported.
+
+Null texts, null ids and texts of fewer than SEED words have no passages. Repeats within one document
 only don't count.
 """
 
@@ -20,26 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
 from .components import similar_groups
-from .words import Texts, mix
+from .words import Texts, distinct_by_text, mix
 
 U = np.uint64
-LENGTH, SPREAD, WIDTH, BANDS = 16, 35, 5, 3
-
+LENGTH, SEED, SPREAD = 16, 12, 9
+RADIUS, WIDTH, BANDS, ROWS = 50, 5, 6, 3
+_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
 
-def least_places(h: np.ndarray, doc: np.ndarray, spread: int) -> np.ndarray:
-    """The places that have the least hash, the first of equals, among some `spread` consecutive ones of a text.
 
-    A text with fewer places has its least one.
-    """
+def _least(h: np.ndarray, doc: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the place of the least hash, the first of equals, among `spread` from it on in its text; whether there are so many."""
     n = len(h)
-    if not n:
-        return np.empty(0, np.int64)
     start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     end = np.append(start[1:], n)
     # least of windows that begin at each place, by doubling; windows may not leave their text
@@ -53,73 +60,199 @@ def least_places(h: np.ndarray, doc: np.ndarray, spread: int) -> np.ndarray:
         best = better(best, best[np.minimum(np.arange(n) + size, last - 1)])
         size *= 2
     best = better(best, best[np.minimum(np.arange(n) + spread - size, last - 1)])
-    whole = np.arange(n) + spread <= last
-    whole[start] = True
+    return best, np.arange(n) + spread <= last
+
+
+def least_places(h: np.ndarray, doc: np.ndarray, spread: int) -> np.ndarray:
+    """The places that have the least hash, the first of equals, among some `spread` consecutive ones of a text.
+
+    A text with fewer places has its least one.
+    """
+    if not len(h):
+        return np.empty(0, np.int64)
+    best, whole = _least(h, doc, spread)
+    whole[np.concatenate([[True], doc[1:] != doc[:-1]])] = True
     return np.unique(best[whole])
 
 
+def cut_places(h: np.ndarray, doc: np.ndarray, radius: int) -> np.ndarray:
+    """The places that have the least hash, the first of equals, among `radius` on either side; all of them in their text."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    best, whole = _least(h, doc, 2 * radius + 1)
+    return np.flatnonzero(whole & (best == np.arange(len(h)) + radius)) + radius
+
+
+def _pairs(t: Texts) -> np.ndarray:
+    """A hash of each word and the next."""
+    h = t.word_hash
+    return mix(h + mix(np.append(h[1:], U(0)))) if len(h) else h
+
+
+def runs(t: Texts, places: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of SEED words that begin at some words: the text, first word, start and end in code points, a hash."""
+    whole = np.zeros(len(places), U)
+    for j in range(SEED):
+        whole = mix(whole * U(3) + t.word_hash[places + j])
+    doc = t.doc[places]
+    first = t.chars[t.offsets[doc]] if len(places) else places
+    return {"doc": doc, "place": places - t.word_at[doc], "start": t.chars[t.starts[places]] - first, "end": t.chars[t.ends[places + SEED - 1]] - first, "hash": whole}
+
+
+def _fits(t: Texts) -> np.ndarray:
+    """The words that begin a run of SEED words of their text."""
+    return np.flatnonzero(np.arange(len(t.doc)) + SEED <= t.word_at[t.doc + 1])
+
+
 def paragraphs(column: pa.Array) -> dict[str, np.ndarray]:
-    """Paragraphs of some texts: the text, start and end in code points, a hash, BANDS values and shingle hashes."""
+    """Seeds of some texts, as runs(), and 31 bits of the seed before and after and its distance, or -1."""
     t = Texts(column, lower=True)
-    h = t.word_hash
-    n = len(h)
-    at = np.arange(n)
-    fits = at + LENGTH <= t.word_at[t.doc + 1] if n else np.empty(0, bool)
-    places = np.flatnonzero(fits)
-    if not len(places):
-        return {"doc": places, "start": places, "end": places, "hash": places.astype(U), "bands": np.empty((0, BANDS), U), "sets": np.empty((0, LENGTH - WIDTH + 1), np.uint32)}
-    pair_of = np.zeros(n, U)
-    pair_of[places] = mix(h[places] + mix(h[places + 1]))
-    chosen = places[least_places(pair_of[places], t.doc[places], SPREAD)]
-    grid = h[chosen[:, None] + np.arange(LENGTH)]
-    k = LENGTH - WIDTH + 1
-    shingles = np.zeros((len(chosen), k), U)
-    whole = np.zeros(len(chosen), U)
+    fits = _fits(t)
+    chosen = fits[least_places(_pairs(t)[fits], t.doc[fits], SPREAD)]
+    out = runs(t, chosen)
+    n = len(chosen)
+    out["before"], out["after"] = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    if n > 1:
+        near = np.flatnonzero(out["doc"][1:] == out["doc"][:-1])
+        far = (chosen[near + 1] - chosen[near]).astype(U)
+        out["before"][near + 1] = mix(out["hash"][near] + far) >> U(33)
+        out["after"][near] = mix(out["hash"][near + 1] + far) >> U(33)
+    return out
+
+
+def ends(column: pa.Array, doc: np.ndarray, place: np.ndarray, side: np.ndarray) -> dict[str, np.ndarray]:
+    """The runs, as runs(), up to SPREAD - 1 places before (side < 0) or after (side > 0) some words of some texts."""
+    t = Texts(column, lower=True)
+    inside = place < t.n_words[doc]
+    at = (t.word_at[doc] + place)[inside, None] + side[inside, None] * np.arange(1, SPREAD)
+    mine = np.repeat(doc[inside], SPREAD - 1)
+    at = at.reshape(-1)
+    return runs(t, np.unique(at[(at >= t.word_at[mine]) & (at + SEED <= t.word_at[mine + 1])]))
+
+
+def blocks(column: pa.Array) -> dict[str, np.ndarray]:
+    """Paragraphs of LENGTH words or more: as runs(), also the number of words, BANDS values, shingle hashes and their edges."""
+    t = Texts(column, lower=True)
+    n = len(t.doc)
+    begins = np.unique(np.concatenate([t.word_at[:-1][t.n_words > 0], cut_places(_pairs(t), t.doc, RADIUS)])).astype(np.int64)
+    stops = np.append(begins[1:], n)
+    long = stops - begins >= LENGTH
+    begins, stops = begins[long], stops[long]
+    doc = t.doc[begins]
+    k = len(begins)
+    if not k:
+        none = np.empty(0, np.int64)
+        return {"doc": none, "place": none, "words": none, "start": none, "end": none, "hash": none.astype(U), "bands": np.empty((0, BANDS), U), "sets": np.empty(0, np.uint32), "edges": np.zeros(1, np.int64)}
+    shingles = np.zeros(n - WIDTH + 1, U)
     for j in range(WIDTH):
-        shingles = mix(shingles * U(3) + grid[:, j : j + k])
-    for j in range(LENGTH):
-        whole = mix(whole * U(3) + grid[:, j])
-    start = mix(pair_of[chosen])  # paragraphs that begin elsewhere are other ones, however much they overlap
-    bands = np.stack([mix(mix(shingles ^ mix(np.array([b + 1], U))).min(axis=1) + U(b + 1) + start) for b in range(BANDS)], axis=1)
-    first = t.chars[t.offsets[t.doc[chosen]]]
-    sets = np.sort((shingles >> U(32)).astype(np.uint32), axis=1)
-    return {"doc": t.doc[chosen], "start": t.chars[t.starts[chosen]] - first, "end": t.chars[t.ends[chosen + LENGTH - 1]] - first, "hash": whole, "bands": bands, "sets": sets}
+        shingles = mix(shingles * U(3) + t.word_hash[j : n - WIDTH + 1 + j])
+    size = stops - begins - WIDTH + 1
+    edges = np.append(0, np.cumsum(size))
+    block = np.repeat(np.arange(k), size)
+    values = shingles[np.arange(edges[-1]) - edges[block] + begins[block]]
+    low = [np.minimum.reduceat(values * f + (f >> U(7)), edges[:-1]) for f in _FACTORS]
+    bands = []
+    for b in range(BANDS):
+        made = np.full(k, U(b + 1))
+        for row in low[b * ROWS : (b + 1) * ROWS]:
+            made = mix(made * U(3) + row)
+        bands.append(made)
+    # equal paragraphs have equal shingles in equal order
+    chain = np.add.reduceat(mix(values + mix((np.arange(edges[-1]) - edges[block]).astype(U))), edges[:-1])
+    first = t.chars[t.offsets[doc]]
+    sets, own, _ = distinct_by_text((values >> U(32)).astype(np.uint32), block)
+    per = np.bincount(own, minlength=k)
+    return {
+        "doc": doc, "place": begins - t.word_at[doc], "words": stops - begins, "start": t.chars[t.starts[begins]] - first, "end": t.chars[t.ends[stops - 1]] - first,
+        "hash": mix(chain + size.astype(U)), "bands": np.stack(bands, axis=1), "sets": sets, "edges": np.append(0, np.cumsum(per)),
+    }
 
 
-def units(df: DataFrame) -> DataFrame:
-    """(doc_id, start, end, node, bands, set), a row for each paragraph of df (doc_id, text)."""
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+
+
+_SPAN = "doc_id bigint, place int, words int, start bigint, end bigint, node bigint"
+
+
+def _spans(ids: pa.Array, p: dict[str, np.ndarray]) -> list[pa.Array]:
+    words = p.get("words", np.full(len(p["doc"]), SEED))
+    return [ids.take(pa.array(p["doc"])), pa.array(p["place"], pa.int32()), pa.array(words, pa.int32()), pa.array(p["start"], pa.int64()), pa.array(p["end"], pa.int64()), pa.array(p["hash"].view(np.int64))]
+
+
+_NAMES = ["doc_id", "place", "words", "start", "end", "node"]
+
+
+def seeds(df: DataFrame) -> DataFrame:
+    """A row for each seed of df (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = common.texts_of(b.column(1))
             for low, high in common.steps(column):
                 p = paragraphs(column.slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([*_spans(b.column(0).slice(low, high - low), p), pa.array(p["before"]), pa.array(p["after"])], [*_NAMES, "before", "after"])
+
+    return _named(df).mapInArrow(run, f"{_SPAN}, before int, after int")
+
+
+def units(df: DataFrame) -> DataFrame:
+    """A row for each paragraph of df (doc_id, text), with its bands and its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = common.texts_of(b.column(1))
+            for low, high in common.steps(column):
+                p = blocks(column.slice(low, high - low))
                 n = len(p["doc"])
-                sets = []
-                for row in p["sets"]:
-                    different = np.append(True, row[1:] != row[:-1])
-                    sets.append(row.tobytes() if different.all() else row[different].tobytes())
+                raw, at = p["sets"].tobytes(), (p["edges"] * 4).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(low, high - low).take(pa.array(p["doc"])),
-                        pa.array(p["start"], pa.int64()),
-                        pa.array(p["end"], pa.int64()),
-                        pa.array(p["hash"].view(np.int64)),
+                        *_spans(b.column(0).slice(low, high - low), p),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(p["bands"].reshape(-1).view(np.int64))),
-                        pa.array(sets, pa.binary()),
+                        pa.array([raw[at[k] : at[k + 1]] for k in range(n)], pa.binary()),
                     ],
-                    ["doc_id", "start", "end", "node", "bands", "set"],
+                    [*_NAMES, "bands", "set"],
                 )
 
-    frame = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    return frame.mapInArrow(run, "doc_id bigint, start bigint, end bigint, node bigint, bands array<bigint>, set binary")
+    return _named(df).mapInArrow(run, f"{_SPAN}, bands array<bigint>, set binary")
 
 
-def repeats(df: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, start, end, cluster_id, n_docs, removed) of every repeated passage of df (doc_id, text).
+def around(df: DataFrame, at: DataFrame) -> DataFrame:
+    """A row for each run near the ends `at` (doc_id, place, side) of df (doc_id, text)."""
 
-    start and end are code points, end exclusive; n_docs the documents that the cluster lies in.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = common.texts_of(b.column(1))
+            for low, high in common.steps(column):
+                ids, lists = b.column(0).slice(low, high - low), b.column(2).slice(low, high - low)
+                # a place is written as twice itself, and one more for what comes after it
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                doc = np.repeat(np.arange(high - low), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                p = ends(column.slice(low, high - low), doc, flat >> 1, (flat & 1) * 2 - 1)
+                yield pa.RecordBatch.from_arrays(_spans(ids, p), _NAMES)
+
+    lists = at.select("doc_id", (F.col("place") * 2 + F.when(F.col("side") > 0, 1).otherwise(0)).alias("at")).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    return _named(df).join(lists, "doc_id").select("doc_id", "text", "at").mapInArrow(run, _SPAN)
+
+
+def exact(df: DataFrame, broadcast_rows: int) -> list[DataFrame]:
+    """Tables of the runs that lie in two documents or more."""
+    rows = seeds(df)
+    twice = rows.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("node")
+    twice = common.maybe_broadcast(common.table(twice, "repeated-seeds"), broadcast_rows)
+    again = common.table(rows.join(twice, "node"), "seeds")  # the seeds come from the texts again
+    sides = again.groupBy("node").agg(*(f(c).alias(f"{k}_{c}") for c in ("before", "after") for k, f in (("lo", F.min), ("hi", F.max))))
+    left, right = ((F.col(f"lo_{c}") < 0) | (F.col(f"lo_{c}") < F.col(f"hi_{c}")) for c in ("before", "after"))
+    open_ = common.table(sides.select("node", left.alias("l"), right.alias("r")).filter("l or r"), "open-seeds")
+    at = again.select("node", "doc_id", "place").join(open_, "node").select("doc_id", "place", F.explode(F.array_compact(F.array(F.when(F.col("l"), -1), F.when(F.col("r"), 1)))).alias("side"))
+    near = common.table(around(df, common.table(at, "ends")), "runs-at-ends")
+    both = near.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("node")
+    return [again.select(*_NAMES), near.join(both, "node").select(*_NAMES)]
+
+
+def alike(df: DataFrame, threshold: float, broadcast_rows: int) -> DataFrame:
+    """The paragraphs that are similar to another one; node is the least of their cluster."""
     rows = common.table(units(df).drop("set"), "paragraphs")
     # bands that different paragraphs share, by the least and the greatest of them
     spread = rows.select("node", F.explode("bands").alias("band"))
@@ -130,16 +263,36 @@ def repeats(df: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000_0
     again = units(df).select("node", "set", F.explode("bands").alias("band")).join(often, "band")
     shared = common.table(again.select("node", "band", "set"), "shared-paragraphs")
     comps, _ = similar_groups(shared.select("node", "band").distinct(), shared.select("node", "set"), threshold)
+    return rows.drop("bands").join(comps, "node").drop("node").withColumnRenamed("comp", "node").select(*_NAMES)
+
+
+def joined(paras: DataFrame, same: DataFrame, width: int = 64) -> DataFrame:
+    """paras, each from where the first of the runs `same` lies in it to where the last does; those that have none fall away."""
+    stop = F.col("place") + F.col("words")
+    slot = lambda c: F.floor(c / width).cast("int")
+    p = paras.select("doc_id", F.col("node").alias("n"), F.col("place").alias("p"), stop.alias("q"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(slot(F.col("place") - SEED), slot(stop))).alias("slot"))
+    x = same.select("doc_id", "place", stop.alias("stop"), "start", "end", slot(F.col("place")).alias("slot"))
+    found = x.join(p, ["doc_id", "slot"]).filter("place < q and stop > p").groupBy("doc_id", "n", "p")
+    hull = found.agg(F.min(F.greatest("place", "p")).alias("place"), F.max(F.least("stop", "q")).alias("stop"), F.min(F.greatest("start", "s")).alias("start"), F.max(F.least("end", "e")).alias("end"))
+    return hull.select("doc_id", "place", (F.col("stop") - F.col("place")).alias("words"), "start", "end", F.col("n").alias("node"))
 
-    lean = rows.select("node", "doc_id", "start", "end")
-    twice = lean.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("node")
-    named = twice.join(comps, "node", "full").select("node", F.coalesce("comp", "node").alias("cluster_id"))
-    members = common.table(lean.join(named, "node").select("cluster_id", "doc_id", "start", "end"), "members")
+
+def repeats(df: DataFrame, threshold: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(doc_id, start, end, cluster_id, n_docs, removed) of every repeated passage of df (doc_id, text).
+
+    start and end are code points, end exclusive; n_docs the documents that the cluster lies in.
+    """
+    same = exact(df, broadcast_rows)
+    same = common.table(same[0].union(same[1]), "repeated-runs")
+    near = joined(alike(df, threshold, broadcast_rows), same)
+    members = same.withColumn("near", F.lit(False)).union(near.withColumn("near", F.lit(True)))
+    members = common.table(members.select("doc_id", "place", (F.col("place") + F.col("words")).alias("stop"), "start", "end", F.col("node").alias("cluster_id"), "near").distinct(), "members")
     docs = members.select("cluster_id", "doc_id").distinct().groupBy("cluster_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper")).filter("n_docs > 1")
     docs = common.table(docs, "clusters")
-    found = members.join(docs, "cluster_id").withColumn("removed", F.col("doc_id") != F.col("keeper"))
+    found = members.join(docs, "cluster_id").withColumn("removed", F.col("doc_id") != F.col("keeper")).filter("removed or not near")  # the runs tell what stays
     # spans of one text that overlap and share their fate become one
     mine = W.partitionBy("doc_id", "removed").orderBy("start", "end", "cluster_id")
     reach = F.max("end").over(mine.rowsBetween(W.unboundedPreceding, -1))
-    isle = found.distinct().withColumn("_new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("_isle", F.sum("_new").over(mine))
-    return isle.groupBy("doc_id", "removed", "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster_id").alias("cluster_id"), F.max("n_docs").alias("n_docs")).select("doc_id", "start", "end", "cluster_id", "n_docs", "removed")
+    isle = found.withColumn("_new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("_isle", F.sum("_new").over(mine))
+    whole = isle.groupBy("doc_id", "removed", "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("cluster_id").alias("cluster_id"), F.max("n_docs").alias("n_docs"), (F.max("stop") - F.min("place")).alias("words"))
+    return whole.filter(F.col("words") >= LENGTH).select("doc_id", "start", "end", "cluster_id", "n_docs", "removed")

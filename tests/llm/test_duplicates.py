@@ -165,6 +165,62 @@ def test_repeats(spark):
     assert {x["n_docs"] for x in out} == {7}
 
 
+def test_repeats_cover_whole_passages(spark):
+    """Every word of a planted passage is reported, from 20 words on."""
+    r = random.Random(31)
+    sizes = [20, 21, 24, 30, 37, 45, 50, 60, 100, 300]
+    passages = [prose(r, n) for n in sizes for _ in range(6)]
+    rows, planted = [], []
+    for k, p in enumerate(passages):
+        for doc in (2 * k, 2 * k + 1):
+            before = prose(r, r.randint(1, 60))
+            rows.append((doc, f"{before} {p} {prose(r, r.randint(1, 60))}"))
+            planted.append((doc, len(before) + 1, len(before) + 1 + len(p)))
+    out = P.repeats(docs(spark, rows)).collect()
+    for doc, start, end in planted:
+        assert any(x["doc_id"] == doc and x["removed"] == (doc % 2 == 1) and x["start"] <= start and x["end"] >= end for x in out), (doc, end - start)
+
+
+def test_ends_are_found_among_other_repeats(spark):
+    """A passage that ends in the middle of what other documents share."""
+    r = random.Random(32)
+    w = prose(r, 120).split()
+    whole, inner = " ".join(w), " ".join(w[37:63])
+    rows = [(1, f"{prose(r, 20)} {whole} {prose(r, 20)}"), (2, f"{prose(r, 20)} {whole}"), (3, f"{prose(r, 33)} {inner} {prose(r, 20)}")]
+    out = [x for x in P.repeats(docs(spark, rows)).collect() if x["doc_id"] == 3]
+    start = rows[2][1].index(inner)
+    assert len(out) == 1 and out[0]["removed"] and out[0]["start"] <= start and out[0]["end"] >= start + len(inner)
+
+
+def test_blocks_of_near_copies(spark):
+    """Paragraphs with a changed word collide in a band wherever the word stands, their first two included."""
+    r = random.Random(33)
+    same = total = 0
+    for _ in range(200):
+        w = prose(r, 70).split()
+        texts = [" ".join(w)]
+        w[r.randrange(len(w))] = "changed"
+        p = P.blocks(common.texts_of(pa.array([*texts, " ".join(w)])))
+        if p["words"].tolist() == [70, 70]:
+            total += 1
+            same += bool((p["bands"][0] == p["bands"][1]).any())
+    assert total > 50 and same >= 0.97 * total
+
+
+def test_near_copies_are_joined_across_edits(spark):
+    """Near copies of whole texts are one span, however the edits split them into repeated runs."""
+    r = random.Random(34)
+    rows = []
+    for k in range(40):
+        w = prose(r, 240).split()
+        rows.append((2 * k, " ".join(w)))
+        w[60 + k] = "changed"
+        rows.append((2 * k + 1, " ".join(w)))
+    out = [x for x in P.repeats(docs(spark, rows)).collect() if x["removed"]]
+    whole = {x["doc_id"] for x in out if x["start"] == 0 and x["end"] == len(dict(rows)[x["doc_id"]])}
+    assert {x["doc_id"] for x in out} == {2 * k + 1 for k in range(40)} and len(whole) >= 32
+
+
 def test_repeats_edges(spark):
     out = P.repeats(docs(spark, edge_rows())).collect()
     assert out == []  # row 4 comes twice, but is one document
