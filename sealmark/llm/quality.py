@@ -1,10 +1,10 @@
 """Quality rules: word, symbol and repetition counts of a text, and cross-document line frequency.
 
 A line is normalised to its words (A-Z lowered) joined by one space. Per host, a line's frequency is
-the number of distinct documents with it. So that a document and its edited copies count about
-once, documents are told apart by a sketch: the least hash among their pairs of words. Two independent
-documents seldom share it; copies with a few edited words nearly always do. Lines above the limit
-(`line_share` of the host's documents by sketch, and at least `line_least`) are removed, and a
+the number of distinct documents with it. Documents are told apart by all their words in order (A-Z lowered,
+a 64-bit hash), so copies of one document count once and every other document counts, however much it
+shares; edited copies are documents of their own. Lines above the limit (`line_share` of the host's
+distinct documents, and more than `line_least`) are removed, and a
 document that keeps less than `keep_share` of its words is depleted and rejected.
 
 Null and empty texts have no words and fail; a null host is a host of its own.
@@ -81,14 +81,8 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     out["line"] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U))
     out["line_words"] = last - first
     out["line_at"] = np.searchsorted(doc, np.arange(t.n + 1))
-    least = np.zeros(t.n, U)
-    has = t.n_words > 0
-    if n:
-        pair = mix(low + U(3) * mix(np.append(low[1:], U(0))))
-        ends = t.word_at[1:][has] - 1
-        pair[ends] = np.where(t.n_words[has] > 1, U(2**64 - 1), low[ends])  # a last word begins no pair
-        least[has] = np.minimum.reduceat(pair, t.word_at[:-1][has])
-    out["sketch"] = least
+    edge = t.word_at[:-1]
+    out["own"] = mix((sums[t.word_at[1:]] - sums[edge]) * down[edge] + t.n_words.astype(U))
     return out
 
 
@@ -96,10 +90,10 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), host: str = "source") -> DataFrame:
-    """keep, host, the five counts, a sketch, and the lines as arrays of hashes and word counts."""
+    """keep, host, the five counts, a hash of all words, and the lines as arrays of hashes and word counts."""
     frame = df.select(*(F.col(c) for c in keep), F.col(host).cast("string").alias("_host"), text)
     fields = {f.name: f for f in frame.schema.fields}
-    schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), "_host string", *(f"{c} bigint" for c in _COUNTS), "_sketch bigint, _lines array<bigint>, _line_words array<int>"])
+    schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), "_host string", *(f"{c} bigint" for c in _COUNTS), "_own bigint, _lines array<bigint>, _line_words array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,11 +105,11 @@ def counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                     [
                         *(b.column(i).slice(low, high - low) for i in range(len(keep) + 1)),
                         *(pa.array(m[c], pa.int64()) for c in _COUNTS),
-                        pa.array(m["sketch"].view(np.int64)),
+                        pa.array(m["own"].view(np.int64)),
                         pa.ListArray.from_arrays(at, pa.array(m["line"].view(np.int64))),
                         pa.ListArray.from_arrays(at, pa.array(m["line_words"], pa.int32())),
                     ],
-                    [*keep, "_host", *_COUNTS, "_sketch", "_lines", "_line_words"],
+                    [*keep, "_host", *_COUNTS, "_own", "_lines", "_line_words"],
                 )
 
     return frame.mapInArrow(run, schema)
@@ -133,12 +127,12 @@ def rate(
 ) -> DataFrame:
     """keep's columns, the counts, base_failed, n_removed (words in removed lines) and kept.
 
-    One pass over the texts; lines travel as (host, hash, sketch) and are pre-aggregated before each
-    shuffle, so a line or a host that holds a third of the rows is spread over its sketches.
+    One pass over the texts; lines travel as (host, hash, hash of the document) and are pre-aggregated before each
+    shuffle, so a line or a host that holds a third of the rows is spread over its documents.
     """
     base = common.table(counts(df, text, keep, host).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    hosts = base.select("_host", "_sketch").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
-    lines = base.select("_host", "_sketch", F.explode(F.array_distinct("_lines")).alias("_line"))
+    hosts = base.select("_host", "_own").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
+    lines = base.select("_host", "_own", F.explode(F.array_distinct("_lines")).alias("_line"))
     often = lines.distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > line_least)
     often = often.join(hosts, often["_host"].eqNullSafe(hosts["_host"])).filter(F.col("_n") > line_share * F.col("_docs")).select(F.coalesce(often["_host"], F.lit("")).alias("_h"), often["_host"].isNull().alias("_null"), F.col("_line").alias("_l"))
     often = common.maybe_broadcast(common.table(often, "frequent-lines"), broadcast_rows)

@@ -46,6 +46,19 @@ def test_line_frequency(spark):
     assert shuffled == {k: x["kept"] for k, x in got.items()}
 
 
+def test_documents_of_one_template_all_count(spark):
+    """However much of their text documents share, each counts; copies count once."""
+    r = random.Random(7)
+    for k in range(12):
+        shared = [prose(r, 30) for _ in range(4)]
+        rows = [(k, "\n".join([*shared, prose(r, 40)]), "en", "h") for k in range(100)]
+        got = Q.rate(docs(spark, [*rows, *[(200 + k, rows[0][1].upper(), "en", "h") for k in range(40)]])).collect()
+        assert {(x["n_removed"], x["kept"]) for x in got} == {(120, False)}
+    few = [(k, "\n".join([*shared, prose(r, 40)]), "en", "h") for k in range(20)]
+    got = Q.rate(docs(spark, [*few, *((100 + k, few[k % 20][1], "en", "h") for k in range(60))])).collect()
+    assert {x["n_removed"] for x in got} == {0}
+
+
 def test_edges(spark):
     assert Q.rate(docs(spark, []).limit(0)).collect() == []
     rows = [(1, "a b " * 40, "en", None), (1, "a b " * 40, "en", None)]
