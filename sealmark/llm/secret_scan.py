@@ -1,11 +1,13 @@
 """Secrets in texts: three fixed patterns, and strings that a primed compressor finds novel.
 
 The added kind: a candidate is a run of 16 or more of ``[A-Za-z0-9+/_=.-]`` with a digit and a
-letter, on a line that names something sensitive up to 80 characters before it, and outside the
-fixed patterns' spans. A zstandard compressor primed with common identifiers and the text around the
-candidate then compresses it. What it costs on top of an empty input, per byte, is its novelty.
-Identifiers, paths and strings that the surroundings repeat cost little; random strings can't be
-compressed and are reported.
+letter, up to 80 characters after something that names a secret (on its line or one before), and outside
+the fixed patterns' spans. A zstandard compressor primed with common identifiers and the text around the
+candidate then compresses it. What it costs on top of an empty input, per byte, is its novelty. The
+candidate's own repeats are taken out of that text, since a key is defined and then used; only what
+already stood in it twice counts as known. Identifiers, paths and strings made of the surroundings cost
+little; random strings can't be compressed and are reported, and so is every other place of the text that has
+them. The body of a private key block is reported whole.
 
 Null and empty texts have no secrets. Very long texts are scanned whole; one text at a time is held.
 """
@@ -31,6 +33,11 @@ NAMES = re.compile(r"(?ai:passw|secret|token|api_?key)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)?|pwd|secret|token|api|key|credential|auth|bearer|private|access|login|session|signature)")
 
+BLOCK = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[rn])*+(?:[A-Z][A-Za-z-]*+: [^\n\\]*+(?:\n|\\[rn])(?:\s|\\[rn])*+)*+"
+    r"([A-Za-z0-9+/=]{16,}+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[rn])*[A-Za-z0-9+/=]+){0,2}(?=(?:\s|\\[rn])*-----END)|[A-Za-z0-9+/=]{16,}+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+)"
+)
+
 #: What code and configuration are full of; primes the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key client_secret client_id "
@@ -62,31 +69,54 @@ def novelty(candidate: str, context: str) -> float:
     return (len(_press.compress(around + raw)) - len(_press.compress(around))) / max(1, len(raw))
 
 
+def mixed(word: str) -> bool:
+    """Whether a run may be a candidate: 16 characters with a digit and a letter."""
+    return len(word) >= 16 and any("0" <= c <= "9" for c in word) and re.search("[A-Za-z]", word) is not None
+
+
+def parts(word: str) -> list[str]:
+    """A run and the values in it, as of name=value."""
+    return [word, *(x for x in word.split("=") if x != word and mixed(x))]
+
+
+def without(words: list[str], before: str, after: str) -> str:
+    """The text around a candidate without its repeats; what stands before it twice is left."""
+    for w in words:
+        if before.count(w) < 2:
+            before = before.replace(w, "")
+        after = after.replace(w, "")
+    return before + after
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = 0.5, window: int = 400, near: int = 80) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of the incompressible candidates in a sensitive context."""
-    out = []
-    k, taken = 0, []  # base spans, merged
-    for s, _, e in base:
+    """(start, 3, end) of private key blocks, and of the incompressible candidates in a sensitive context and their repeats."""
+    blocks = [(m.start(1), 3, m.end(1)) for m in BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
+    taken: list[list[int]] = []  # base spans and blocks, merged
+    for s, _, e in sorted(base + blocks):
         if taken and s < taken[-1][1]:
             taken[-1][1] = max(taken[-1][1], e)
         else:
             taken.append([s, e])
+    k, runs = 0, []  # the candidates that nothing has taken
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        word = m.group()
-        if not any("0" <= c <= "9" for c in word) or not re.search("[A-Za-z]", word):
-            continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if k < len(taken) and taken[k][0] < end:
-            continue
-        before = text[max(0, start - near) : start].rpartition("\n")[2]
-        if not SENSITIVE.search(before):
+        if mixed(m.group()) and not (k < len(taken) and taken[k][0] < end):
+            runs.append((start, end, m.group()))
+    found: set[tuple[int, int]] = set()
+    known: set[str] = set()  # strings reported once, to be reported wherever they stand
+    for start, end, word in runs:
+        if not SENSITIVE.search(text, max(0, start - near), start):
             continue
-        context = text[max(0, start - window) : start] + text[end : end + window]
+        words = parts(word)
+        context = without(words, text[max(0, start - window) : start], text[end : end + window])
         if novelty(word, context) >= least:
-            out.append((start, 3, end))
-    return out
+            found.add((start, end))
+            known.update(x for x in words if x == word or novelty(x, context) >= least)
+    if known:
+        found.update((start, end) for start, end, word in runs if not known.isdisjoint(parts(word)))
+    return sorted(blocks + [(start, 3, end) for start, end in found])
 
 
 def scan_text(text: str | None, least: float = 0.5) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
