@@ -347,7 +347,7 @@ def commitments_admitted(spark, sf_dir):
 
 def _admission(name: str, format_: str, raw: Callable[[], F.Column], bad: Callable[[], F.Column]) -> None:
     def run(spark, sf_dir):
-        d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("t")).filter("t is not null")
+        d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")).filter("t is not null")
         rows = d.select(F.explode(F.array(raw(), bad())).alias("raw"))
         return rows.select(address("raw", format_, "sha256").alias("o")).groupBy(F.col("o.status").alias("status"), F.coalesce("o.violation", F.lit("")).alias("violation")).agg(F.count("*").alias("n"))
 
@@ -355,12 +355,18 @@ def _admission(name: str, format_: str, raw: Callable[[], F.Column], bad: Callab
     SQL[name] = "select status, violation, count(*) as n from documents, (values ('ok', ''), ('invalid', 'schema_violation')) t(status, violation) where text is not null group by status, violation"
 
 
+def _string(c: str) -> F.Column:
+    """A JSON string of any text."""
+    made = F.to_json(F.struct(F.col(c).alias("s")))  # {"s":"..."}
+    return F.substring(made, F.lit(6), F.length(made) - 6)
+
+
 def _article(kind: str) -> F.Column:
-    return F.concat(F.lit(f'{{"@context":"https://schema.org","@type":"{kind}","headline":'), quoted("t"), F.lit(',"author":["A",{"@type":"Person","name":"B"}],"datePublished":"2025-01-15"}'))
+    return F.concat(F.lit(f'{{"@context":"https://schema.org","@type":"{kind}","headline":'), _string("t"), F.lit(',"author":["A",{"@type":"Person","name":"B"}],"datePublished":"2025-01-15"}'))
 
 
 def _photo(context: str) -> F.Column:
-    return F.concat(F.lit(f'{{"@context":"{context}","@type":"Photograph","contentUrl":"u","creator":{{"@type":"Organization","name":'), quoted("t"), F.lit("}}"))
+    return F.concat(F.lit(f'{{"@context":"{context}","@type":"Photograph","contentUrl":"u","creator":{{"@type":"Organization","name":'), _string("t"), F.lit("}}"))
 
 
 def _statement(sha: F.Column) -> F.Column:

@@ -39,3 +39,25 @@ def test_query(spark, duck, name):
         assert sorted(names) == sorted(df.columns)
         order = sorted(range(len(names)), key=lambda k: names[k])
         assert got == sorted(repr(tuple(plain(r[k]) for k in order)) for r in found.fetchall())
+
+
+def test_admission_reads_whole_texts(spark, tmp_path, monkeypatch):
+    """What the operator is given holds every character of the text, and any character is admitted."""
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from sealmark.plans import queries
+
+    texts = ["short", "x" * 300 + ' end "quoted" \\ \x01\x0b\x1f\x7f é e\u0301 \U0001f600', "a" * 79 + '"' + "b" * 5000]
+    spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = ("schema_article_admission", "schema_photo_admission", "in_toto_admission")
+    for name in names:
+        got = {tuple(x) for x in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {("ok", "", 3), ("invalid", "schema_violation", 3)}, name
+    monkeypatch.setattr(queries, "address", lambda raw, format_, axis: F.struct(F.col(raw).alias("status"), F.lit("").alias("violation")))
+    seen = {name: [json.loads(x["status"]) for x in QUERIES[name](spark, str(tmp_path)).collect()] for name in names}
+    assert {x["headline"] for x in seen[names[0]]} == {x["creator"]["name"] for x in seen[names[1]]} == set(texts)
+    digests = {x["subject"][0]["digest"]["sha256"] for x in seen[names[2]]}
+    assert digests >= {hashlib.sha256(x.encode()).hexdigest() for x in texts}
