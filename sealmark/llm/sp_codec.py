@@ -8,8 +8,9 @@ and the encoding is the one path of weight 0: a Viterbi path over pieces in the
 
 A text is cut into chunks at fixed places. The state at a cut is the piece that covers the character
 before it. A chunk's transfer matrix tells which states at its end each state at its beginning leads
-to; matrices are combined by the max-plus product, which is associative, and once each chunk's first
-state is known, chunks are backtraced independently. A text of one chunk has one state at either end.
+to. Matrices are made in parallel; a text's are then passed through in order in one task, backward (which
+states reach the end) and forward (which one is taken), and once each chunk's first state is known, chunks
+are backtraced independently. A text of one chunk has one state at either end.
 Where no piece spans two neighbouring characters (before a space mark, at line feeds) every path has a
 boundary, so between two such places a stretch is encoded on its own, and cached.
 
@@ -355,7 +356,7 @@ def chunk_matrix(m: Model, text: str, begin: int, cut: int, shift: int, first: b
 def scan_states(matrices: list[dict]) -> list[tuple]:
     """(state at its beginning, state at its end) of each chunk, given all matrices of a text in order.
 
-    Suffix products tell which states can still reach the end; then each chunk's state follows.
+    A pass from the end tells which states can still reach it; then each chunk's state follows in order.
     """
     n = len(matrices)
     good: list[set] = [set()] * n + [{END}]
