@@ -139,24 +139,20 @@ def signatures(df: DataFrame, weighted: bool = False, bands: int = BANDS, rows:
 
 
 def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row of df (doc_id, text).
+    """(doc_id, class_id) for every row of df (doc_id, text).
 
     class_id is the least doc_id of those that links of `threshold` or more connect, the row's own for
-    a document without any. n_links counts the verified links of the document's text to different
-    texts; links inside a class that its other links already imply are not looked for.
+    a document without any. Links inside a class that its other links already imply are not looked for.
     """
     sig = common.table(signatures(df, weighted), "signatures")
     keys = sig.groupBy("key").agg(F.min("doc_id").alias("node"))
     nodes = common.table(keys, "texts")
     own = sig.select("doc_id", "key", "bands").join(nodes.select("node", F.col("key").alias("_key")), [F.col("key") == F.col("_key"), F.col("doc_id") == F.col("node")], "left_semi")
     bands = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct()
-    comps, links = similar_groups(bands, sig.select(F.col("doc_id").alias("node"), "set"), threshold)
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    counted = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.join(comps, "node", "left").join(counted, "node", "left")
-    named = common.table(named.select("key", F.coalesce("comp", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    whole = sig.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links")
-    rest = df.filter("doc_id is null or text is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    comps, _ = similar_groups(bands, sig.select(F.col("doc_id").alias("node"), "set"), threshold)
+    named = nodes.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"))
+    whole = sig.select("doc_id", "key").join(common.table(named, "classes"), "key").select("doc_id", "class_id")
+    rest = df.filter("doc_id is null or text is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").cast("bigint").alias("class_id"))
     return whole.union(rest)
 
 

@@ -118,6 +118,10 @@ def test_similar_groups_compares_what_is_left(spark):
     assert {x["node"]: x["comp"] for x in comps.collect()} == {k: 0 if k < 12 else 12 for k in range(24)}
 
 
+def test_classes_have_no_partial_counts(spark):
+    assert N.classes(docs(spark, [(k, "the same text stands here twice") for k in (1, 2)])).columns == ["doc_id", "class_id"]
+
+
 def test_classes_edges(spark):
     rows = [*edge_rows(), (30, "same text here"), (31, "same text here"), (32, "")]
     got = collections.Counter((x["doc_id"], x["class_id"]) for x in N.classes(docs(spark, rows)).collect())
