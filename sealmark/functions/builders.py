@@ -75,6 +75,45 @@ def der_utf8(text: Column | str) -> Column:
     return der_value(0x0C, as_column(text).cast("binary"))
 
 
+def der_bit_string(bits: Column | str, unused: Column | int = 0) -> Column:
+    """Bits behind the number of unused ones at their end, which must be zero; null for what no bit string is."""
+    c, n = as_column(bits).cast("binary"), F.lit(unused) if isinstance(unused, int) else unused
+    last = F.conv(F.hex(F.substring(c, -1, 1)), 16, 10).cast("int")
+    zero = F.when(F.octet_length(c) == 0, n == 0).otherwise(last % F.pow(F.lit(2), n).cast("int") == 0)
+    content = F.unhex(F.concat(_hex_of(n, 2), F.hex(c)))
+    return F.when((n >= 0) & (n <= 7) & zero, der_value(0x03, content))
+
+
+def _base128(n: Column) -> Column:
+    """Hex of a number in groups of seven bits, the high one first, all but the last with the top bit."""
+    groups = []
+    for k in range(8, -1, -1):
+        group = F.shiftright(n, 7 * k).bitwiseAND(F.lit(127))
+        groups.append(F.when(n >= 1 << 7 * k, _hex_of(group + 128, 2)).otherwise("") if k else _hex_of(group, 2))
+    return F.concat(*groups)
+
+
+def der_object_identifier(arcs: Column | str) -> Column:
+    """An array of numbers; null if it has fewer than two, a negative one, or a root that doesn't admit the second."""
+    c = as_column(arcs).cast("array<bigint>")
+    root, second = F.try_element_at(c, F.lit(1)), F.try_element_at(c, F.lit(2))
+    good = (F.size(c) >= 2) & (root <= 2) & F.forall(c, lambda n: n >= 0) & ((root == 2) | (second < 40))
+    numbers = F.concat(F.array(root * 40 + second), F.slice(c, F.lit(3), F.greatest(F.size(c), F.lit(0))))
+    return F.when(good, der_value(0x06, F.unhex(F.array_join(F.transform(numbers, _base128), ""))))
+
+
+def der_printable(text: Column | str) -> Column:
+    """Letters, digits and a few marks; null for text with others."""
+    c = _raw(text)
+    return F.when(c.rlike(r"\A[A-Za-z0-9 '()+,\-./:=?]*\z"), der_value(0x13, c.cast("binary")))
+
+
+def der_ia5(text: Column | str) -> Column:
+    """ASCII; null for other text."""
+    c = _raw(text)
+    return F.when(c.rlike(r"\A[\x00-\x7F]*\z"), der_value(0x16, c.cast("binary")))
+
+
 def der_sequence(*children: Column) -> Column:
     return der_value(0x30, F.concat(*children))
 

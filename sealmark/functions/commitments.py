@@ -24,15 +24,15 @@ def storage_admitted(hex_: Column | str) -> Column:
     return F.substring(as_column(hex_), 1, 1) < "8"
 
 
-def close_to(hex_: Column | str, reference: str, k: int) -> Column:
-    """Whether the last k bits of the digest and of the reference agree; k of 0 to 60."""
-    c = as_column(hex_)
-    digits = -(-k // 4)
-    if digits == 0:
-        return c.isNotNull()
-    tail = F.conv(F.substring(c, -digits, digits), 16, 10).cast("bigint")
-    want = int(reference[-digits:], 16)
-    return (tail.bitwiseXOR(F.lit(want)) % (1 << k)) == 0
+def close_to(hex_: Column | str, reference: Column | str, k: int) -> Column:
+    """Whether the last k bits of two digests of the same width agree; a reference that is a str is hex text itself."""
+    c, other = as_column(hex_), F.lit(reference.lower()) if isinstance(reference, str) else reference
+    digits, bits = divmod(k, 4)
+    same = F.right(c, F.lit(digits)) == F.right(other, F.lit(digits))
+    if bits:
+        a, b = (F.conv(F.substring(x, -digits - 1, 1), 16, 10).cast("int") for x in (c, other))
+        same = same & (a.bitwiseXOR(b) % (1 << bits) == 0)
+    return same
 
 
 def signed_admitted(hex_: Column | str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..formats import FORMATS, Rejected
 from ..functions.hashes import DIGESTS
-from ..functions.labels import AXES, DEFAULT_AXIS, as_column, axis_name, label
+from ..functions.labels import AXES, DEFAULT_AXIS, DIGEST_BYTES, as_column, axis_name, label
 
 CANONICAL = T.StructType([T.StructField("canonical", T.BinaryType()), T.StructField("violation", T.StringType())])
 OUTCOME = T.StructType(
@@ -130,10 +130,9 @@ def _udf_of(format_: str):
 
 def register(spark: SparkSession) -> list[str]:
     """SQL functions: for every format `<format>_address(value)` and `<format>_address_with_hash(value, axis)`,
-    `<format>_canonicalize(value)`, and the compositions `compose_<operation>` on SHA-256. Returns their names.
+    `<format>_canonicalize(value)`, and the compositions `compose_<operation>` and `compose_<operation>_<axis>`.
+    Returns their names.
     """
-    from ..functions.hashes import DIGESTS as _  # noqa: F401 - workers need the module
-
     names = []
     for format_ in FORMATS:
         both = _udf_of(format_)
@@ -146,21 +145,52 @@ def register(spark: SparkSession) -> list[str]:
 
         spark.udf.register(f"{format_}_canonicalize", F.arrow_udf(_typed(canonical), T.BinaryType()))
         names += [f"{format_}_address_with_hash", f"{format_}_address", f"{format_}_canonicalize"]
-    good = "regexp_like({0}, '^sha256:[0-9a-f]{{64}}$')"
-    head = "concat('sha256:', sha2({0}, 256))"
-    tail = "substring(a, 8)"
-    quarters = ", ".join(f"substring(a, {8 + 16 * k}, 16)" for k in range(4))
-    forms = {
-        "f4": f"concat('sha256:', least({tail}, translate({tail}, '0123456789abcdef', 'fedcba9876543210')))",
-        "e6": "concat(char(if(cast(conv(substring(a, 8, 2), 16, 10) as int) % 9 = 8, 6, 5)), a)",
-        "e7": f"concat('sha256:', array_join(array_sort(array({quarters})), ''))",
-        "e8": "a",
-    }
-    for name, form in forms.items():
-        spark.sql(f"create or replace temporary function compose_{name}(a string) returns string return case when {good.format('a')} then {head.format(form)} end")
-        names.append(f"compose_{name}")
-    spark.sql(f"create or replace temporary function compose_g2(a string, b string) returns string return case when {good.format('a')} and {good.format('b')} then {head.format('concat(least(a, b), greatest(a, b))')} end")
-    return [*names, "compose_g2"]
+    for axis in AXES:  # what SQL has no function for
+        if axis not in ("sha256", "sha512"):
+            spark.udf.register(f"_{_word(axis)}_hex", _hex_udf(axis))
+    for name, form in SQL_FORMS.items():
+        for axis in (None, *AXES):
+            names.append(_register_composition(spark, name, form, axis))
+    return names
+
+
+#: What each composition hashes of operands a and b, of the axis {axis} with digests of {n} hex digits.
+SQL_FORMS = {
+    "g2": "concat(least(a, b), greatest(a, b))",
+    "f4": "concat('{axis}:', least(substring_index(a, ':', -1), translate(substring_index(a, ':', -1), '0123456789abcdef', 'fedcba9876543210')))",
+    "e6": "concat(char(if(cast(conv(substring(substring_index(a, ':', -1), 1, 2), 16, 10) as int) % 9 = 8, 6, 5)), a)",
+    "e7": "concat('{axis}:', array_join(array_sort(transform(sequence(0, 3), k -> substring(substring_index(a, ':', -1), 1 + k * {n} div 4, {n} div 4))), ''))",
+    "e8": "a",
+}
+
+
+def _word(axis: str) -> str:
+    return axis.replace("-", "_")
+
+
+def _register_composition(spark: SparkSession, name: str, form: str, axis: str | None) -> str:
+    """`compose_<operation>_<axis>`, or on the default axis `compose_<operation>`; null for a bad operand."""
+    at = axis or DEFAULT_AXIS
+    n = 2 * DIGEST_BYTES[at]
+    hash_ = f"sha2({{0}}, {at[3:]})" if at in ("sha256", "sha512") else f"_{_word(at)}_hex(cast({{0}} as binary))"
+    operands = ("a", "b") if name == "g2" else ("a",)
+    good = " and ".join(f"regexp_like({x}, '^{at}:[0-9a-f]{{{n}}}$')" for x in operands)
+    label_ = f"concat('{at}:', {hash_.format(form.format(axis=at, n=n))})"
+    function = f"compose_{name}" + (f"_{_word(axis)}" if axis else "")
+    spark.sql(f"create or replace temporary function {function}({', '.join(f'{x} string' for x in operands)}) returns string return case when {good} then {label_} end")
+    return function
+
+
+def _hex_udf(axis: str):
+    def run(values: pa.Array) -> pa.Array:
+        raw = values.to_pylist()
+        there = [k for k, v in enumerate(raw) if v is not None]
+        out: list[str | None] = [None] * len(raw)
+        for k, d in zip(there, DIGESTS[axis]([raw[k] for k in there]), strict=True):
+            out[k] = d.hex()
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(_typed(run), T.StringType())
 
 
 def _typed(f):

@@ -17,43 +17,7 @@ from ..operators import registry, stats, witness
 from ..operators.address import address, address_label, canonicalize, with_labels
 from ..functions.text import quick_check, to_nfc, utf8_valid
 from ..sources.tensors import gguf_layout, safetensors_layout
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_of(raw) -> F.Column:
-    return raw.cast("string")
-
-
-def json_text(name, value) -> F.Column:
-    """An object of one member; value is text that is JSON already."""
-    return F.concat(F.lit('{"' + name + '":'), value, F.lit("}"))
-
-
-def quoted(c) -> F.Column:
-    """A JSON string of text without control characters other than line feeds and tabs."""
-    out = F.col(c) if isinstance(c, str) else c
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.concat(F.lit('"'), out, F.lit('"'))
-
-
-Q_SQL = r"""'"' || replace(replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"'"""
+from .base import QUERIES, Q_SQL, SQL, cases, json_text, query, quoted, read, text_of
 
 
 def event_labels(spark: SparkSession, sf_dir: str, axis: str = "sha256") -> DataFrame:
@@ -500,3 +464,6 @@ for _f in ("gguf", "safetensors", "onnx"):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are equal by their address on the default axis, with the size of each group."""
     return registry.dedupe(document_labels(spark, sf_dir), "label", "doc_id")
+
+
+from . import details  # noqa: E402, F401 - adds its queries

@@ -103,8 +103,8 @@ def test_sql_functions(spark):
     assert spark.sql("select json_address(cast('{\"foo\": \"bar\"}' as binary)) as l").first()["l"] == FOO
     assert spark.sql("select json_address_with_hash('[1, 2]', 'sha512') as l").first()["l"].startswith("sha512:")
     a = "sha256:" + "01" * 32
-    assert spark.sql(f"select compose_e7('{a}') as l").first()["l"] == one(spark.createDataFrame([(a,)], "a string").select(compose.compose_e7("a", "sha256").alias("l")))["l"]
-    assert spark.sql("select compose_f4('sha256:zz') as l").first()["l"] is None
+    assert spark.sql(f"select compose_e7_sha256('{a}') as l").first()["l"] == one(spark.createDataFrame([(a,)], "a string").select(compose.compose_e7("a", "sha256").alias("l")))["l"]
+    assert spark.sql("select compose_f4_sha256('sha256:zz') as l").first()["l"] is None
 
 
 def test_builders(spark):
