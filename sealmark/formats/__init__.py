@@ -23,4 +23,7 @@ FORMATS: dict[str, Callable[[bytes], bytes]] = {
     "schema_codemodule_signed": schemas.statement,
 }
 
-__all__ = ["FORMATS", "Rejected"]
+#: Of formats whose canonical form holds digests, the form before those are made.
+SKELETONS = {"gguf": gguf.skeleton, "onnx": onnx.skeleton, "safetensors": safetensors.skeleton}
+
+__all__ = ["FORMATS", "SKELETONS", "Rejected"]

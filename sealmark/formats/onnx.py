@@ -10,7 +10,7 @@ import heapq
 import struct
 from collections import defaultdict
 
-from ..functions.hashes import blake3
+from ..functions.hashes import Digest, Parts, joined
 from .base import Rejected
 
 # Limits, and by data type the field its values are in and the bytes that a value keeps.
@@ -110,9 +110,9 @@ def _u32(v: int) -> bytes:
     return struct.pack("<I", v & 0xFFFFFFFF)
 
 
-def proto_digest(raw: bytes, depth: int = 0) -> bytes:
+def proto_digest(raw: bytes, depth: int = 0) -> Digest:
     """A digest of any message that the order of its fields doesn't change."""
-    out = []
+    out: Parts = []
     for number, wire, value in sorted(fields(raw), key=lambda f: f[0]):
         out += [_i64(number), bytes([wire])]
         if wire == BYTES:
@@ -122,42 +122,46 @@ def proto_digest(raw: bytes, depth: int = 0) -> bytes:
                     continue
                 except Rejected:
                     pass
-            out.append(blake3(value))
+            out.append(Digest(value))
         else:
             out.append(value.to_bytes(4 if wire == FIXED32 else 8, "little"))
-    return blake3(b"".join(out))
+    return Digest(*out)
 
 
-def canonicalize(raw: bytes) -> bytes:
+def skeleton(raw: bytes) -> Parts:
+    """The canonical form, with digests yet to be made."""
     model = Message(raw)
     version = model.varint(1)
     if version not in IR_VERSIONS:
         raise Rejected("onnx_unsupported_ir")
     graph = model.bytes(7)
-    out = [_i64(version), _opsets(model)]
+    out = [_i64(version), *_opsets(model)]
     if not graph:
         raise Rejected("onnx_missing_graph")
-    out.append(_graph(Message(graph), 0))
-    out += [blake3(model.bytes(k)) for k in (2, 3, 4)]
-    out += [_i64(model.varint(5)), _pairs(model, 14)]
-    return b"".join(out)
+    out += _graph(Message(graph), 0)
+    out += [Digest(model.bytes(k)) for k in (2, 3, 4)]
+    return [*out, _i64(model.varint(5)), *_pairs(model, 14)]
+
+
+def canonicalize(raw: bytes) -> bytes:
+    return joined([skeleton(raw)])[0]
 
 
 def _signed(v: int) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
-def _opsets(model: Message) -> bytes:
+def _opsets(model: Message) -> Parts:
     found = sorted((m.bytes(1), m.varint(2) or 0) for m in map(Message, model.all_bytes(8)))
     if found and not any(not domain and _signed(v) >= 1 for domain, v in found):
         raise Rejected("onnx_opset_too_old")
-    return b"".join(blake3(domain) + _i64(v) for domain, v in found)
+    return [x for domain, v in found for x in (Digest(domain), _i64(v))]
 
 
-def _pairs(owner: Message, number: int) -> bytes:
+def _pairs(owner: Message, number: int) -> Parts:
     """String pairs sorted by key; equal keys stay in order."""
     found = sorted(((m.bytes(1), m.bytes(2)) for m in map(Message, owner.all_bytes(number))), key=lambda p: p[0])
-    return _u32(len(found)) + b"".join(blake3(k) + blake3(v) for k, v in found)
+    return [_u32(len(found)), *(Digest(x) for pair in found for x in pair)]
 
 
 class _Rank:
@@ -174,7 +178,7 @@ class _Rank:
 
     def digest(self) -> bytes:
         if not self._digest:
-            self._digest = proto_digest(self.raw)
+            self._digest = joined([[proto_digest(self.raw)]])[0]
         return self._digest
 
     def __lt__(self, other: _Rank) -> bool:
@@ -218,84 +222,88 @@ def order(raw_nodes: list[bytes]) -> list[int]:
     return out
 
 
-def _graph(graph: Message, depth: int) -> bytes:
+def _graph(graph: Message, depth: int) -> Parts:
     if depth > SUBGRAPHS:
         raise Rejected("onnx_subgraph_depth")
     raw_nodes = graph.all_bytes(1)
-    out = [blake3(graph.bytes(2)), _u32(len(raw_nodes))]
-    out += [_node(Message(raw_nodes[k]), depth) for k in order(raw_nodes)]
+    out: Parts = [Digest(graph.bytes(2)), _u32(len(raw_nodes))]
+    for k in order(raw_nodes):
+        out += _node(Message(raw_nodes[k]), depth)
     tensors = sorted(map(Message, graph.all_bytes(5)), key=lambda t: t.bytes(8))
-    out += [_u32(len(tensors)), *map(_tensor, tensors)]
+    out.append(_u32(len(tensors)))
+    for t in tensors:
+        out += _tensor(t)
     for number in (11, 12, 13):
         infos = sorted(map(Message, graph.all_bytes(number)), key=lambda i: i.bytes(1))
         out.append(_u32(len(infos)))
-        out += [blake3(i.bytes(1)) + proto_digest(i.bytes(2)) for i in infos]
-    return b"".join(out)
+        for i in infos:
+            out += [Digest(i.bytes(1)), proto_digest(i.bytes(2))]
+    return out
 
 
-def _node(node: Message, depth: int) -> bytes:
-    out = [blake3(node.bytes(k)) for k in (3, 4, 7, 8)]
+def _node(node: Message, depth: int) -> Parts:
+    out: Parts = [Digest(node.bytes(k)) for k in (3, 4, 7, 8)]
     for number in (1, 2):
         out.append(_u32(len(node.by.get(number, ()))))
-        out += map(blake3, node.all_bytes(number))
+        out += map(Digest, node.all_bytes(number))
     attributes = sorted(map(Message, node.all_bytes(5)), key=lambda a: a.bytes(1))
     out.append(_u32(len(attributes)))
     for a in attributes:
         kind = (a.varint(20) or 0) & 0xFFFFFFFF
-        out += [blake3(a.bytes(1)), _u32(kind), _attribute(a, kind, depth)]
-    return b"".join(out)
+        out += [Digest(a.bytes(1)), _u32(kind), *_attribute(a, kind, depth)]
+    return out
 
 
-def _attribute(a: Message, kind: int, depth: int) -> bytes:
+def _attribute(a: Message, kind: int, depth: int) -> Parts:
     if kind == 1:
         f = a.first(2)
-        return _u32(f[1]) if f and f[0] == FIXED32 else b""
+        return [_u32(f[1])] if f and f[0] == FIXED32 else []
     if kind == 2:
-        return _i64(a.varint(3))
+        return [_i64(a.varint(3))]
     if kind == 3:
-        return blake3(a.bytes(4))
+        return [Digest(a.bytes(4))]
     if kind == 4:
         return _tensor(Message(a.bytes(5)))
     if kind == 5:
         return _graph(Message(a.bytes(6)), depth + 1)
     if kind == 6:
-        return b"".join(blake3(v) if w == BYTES else _u32(v) for w, v in a.by.get(7, ()) if w in (BYTES, FIXED32))
+        return [Digest(v) if w == BYTES else _u32(v) for w, v in a.by.get(7, ()) if w in (BYTES, FIXED32)]
     if kind == 7:
-        return b"".join(map(_i64, a.varints(8)))
+        return [*map(_i64, a.varints(8))]
     if kind == 8:
-        return b"".join(map(blake3, a.all_bytes(9)))
+        return [*map(Digest, a.all_bytes(9))]
     if kind == 9:
-        return b"".join(_tensor(Message(t)) for t in a.all_bytes(10))
+        return [x for t in a.all_bytes(10) for x in _tensor(Message(t))]
     if kind == 10:
-        return b"".join(_graph(Message(g), depth + 1) for g in a.all_bytes(11))
+        return [x for g in a.all_bytes(11) for x in _graph(Message(g), depth + 1)]
     if kind in (11, 13):
-        return proto_digest(a.bytes(22 if kind == 11 else 14))
+        return [proto_digest(a.bytes(22 if kind == 11 else 14))]
     if kind in (12, 14):
-        return b"".join(map(proto_digest, a.all_bytes(23 if kind == 12 else 15)))
-    return b""
+        return [*map(proto_digest, a.all_bytes(23 if kind == 12 else 15))]
+    return []
 
 
-def _tensor(t: Message) -> bytes:
+def _tensor(t: Message) -> Parts:
     kind = (t.varint(2) or 0) & 0xFFFFFFFF
     if kind not in FLOAT_FIELDS and kind not in VARINT_FIELDS and kind != STRINGS:
         raise Rejected("onnx_unknown_dtype")
     dims = t.varints(1)
-    return b"".join([blake3(t.bytes(8)), _u32(kind), _u32(len(dims)), *map(_i64, dims), _data(t, kind)])
+    return [Digest(t.bytes(8)), _u32(kind), _u32(len(dims)), *map(_i64, dims), tensor_data(t, kind)]
 
 
-def _data(t: Message, kind: int) -> bytes:
+def tensor_data(t: Message, kind: int) -> Digest:
     if t.varint(14) == 1:
-        return blake3(EXTERNAL + _pairs(t, 13))
+        return Digest(EXTERNAL, *_pairs(t, 13))
     if t.bytes(9):
-        return blake3(t.bytes(9))
+        return Digest(t.bytes(9))
     if kind == STRINGS:
-        return blake3(b"".join(map(blake3, t.all_bytes(6))))
+        return Digest(*map(Digest, t.all_bytes(6)))
     if kind in FLOAT_FIELDS:
         parts = [v if w == BYTES else v.to_bytes(4 if w == FIXED32 else 8, "little") for w, v in t.by.get(FLOAT_FIELDS[kind], ()) if w != VARINT]
     else:
         number, width = VARINT_FIELDS[kind]
         parts = [_i64(v)[:width] for v in t.varints(number)]
-    return blake3(b"".join(parts))
+    return Digest(*parts)
 
 
 # --- writing messages, for tests and queries -----------------------------------------------------------

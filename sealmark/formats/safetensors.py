@@ -7,7 +7,7 @@ import re
 import struct
 from dataclasses import dataclass
 
-from ..functions.hashes import blake3_many
+from ..functions.hashes import Digest, Parts, joined
 from .base import Rejected
 
 # Fixed values: (id, bits) of an element by dtype; the longest header; the skeleton's version.
@@ -116,20 +116,21 @@ def read(raw: bytes) -> tuple[list[Tensor], dict[str, str], int]:
     return tensors, metadata, 8 + size
 
 
-def canonicalize(raw: bytes) -> bytes:
+def skeleton(raw: bytes) -> Parts:
+    """The canonical form, with digests yet to be made."""
     tensors, metadata, start = read(raw)
-    tensors = sorted(tensors, key=lambda t: t.name.encode())
-    entries = sorted((k.encode(), v.encode()) for k, v in metadata.items())
-    leaves = [x for kv in entries for x in kv] + [x for t in tensors for x in (t.name.encode(), raw[start + t.begin : start + t.end])]
-    digest = iter(blake3_many(leaves))
-    out = [b"SAFE", struct.pack("<IQQ", FORM, len(tensors), len(entries))]
-    for _, v in entries:
-        out += [next(digest), struct.pack("<Q", len(v)), next(digest)]
+    out: Parts = [b"SAFE", struct.pack("<IQQ", FORM, len(tensors), len(metadata))]
+    for k, v in sorted((k.encode(), v.encode()) for k, v in metadata.items()):
+        out += [Digest(k), struct.pack("<Q", len(v)), Digest(v)]
     offset = 0
-    for t in tensors:
-        out += [next(digest), struct.pack(f"<II{len(t.shape)}QQ", DTYPES[t.dtype][0], len(t.shape), *t.shape, offset), next(digest)]
+    for name, t in sorted(((t.name.encode(), t) for t in tensors), key=lambda x: x[0]):
+        out += [Digest(name), struct.pack(f"<II{len(t.shape)}QQ", DTYPES[t.dtype][0], len(t.shape), *t.shape, offset), Digest(raw[start + t.begin : start + t.end])]
         offset += t.end - t.begin
-    return b"".join(out)
+    return out
+
+
+def canonicalize(raw: bytes) -> bytes:
+    return joined([skeleton(raw)])[0]
 
 
 def build(header: str, data: bytes) -> bytes:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..formats import FORMATS, Rejected
-from ..functions.hashes import DIGESTS
+from ..formats import FORMATS, SKELETONS, Rejected
+from ..functions.hashes import DIGESTS, joined
 from ..functions.labels import AXES, DEFAULT_AXIS, DIGEST_BYTES, as_column, axis_name, label
 
 CANONICAL = T.StructType([T.StructField("canonical", T.BinaryType()), T.StructField("violation", T.StringType())])
@@ -31,7 +31,7 @@ OUTCOME = T.StructType(
 
 
 def _all(values: list[bytes | None], format_: str) -> tuple[list[bytes | None], list[str | None]]:
-    rule = FORMATS[format_]
+    rule = SKELETONS.get(format_) or FORMATS[format_]
     canonical: list[bytes | None] = []
     violation: list[str | None] = []
     for v in values:
@@ -43,6 +43,10 @@ def _all(values: list[bytes | None], format_: str) -> tuple[list[bytes | None],
                 why = str(e)
         canonical.append(out)
         violation.append(why)
+    if format_ in SKELETONS:  # the digests of all values at once
+        there = [k for k, parts in enumerate(canonical) if parts is not None]
+        for k, made in zip(there, joined([canonical[k] for k in there]), strict=True):
+            canonical[k] = made
     return canonical, violation
 
 

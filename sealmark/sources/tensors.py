@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..formats import Rejected, gguf, onnx, safetensors
-from ..functions.hashes import blake3_many
+from ..functions.hashes import blake3_many, joined
 
 TENSORS = "path string, name string, dtype string, shape array<decimal(20,0)>, begin decimal(20,0), bytes decimal(20,0), digest binary, violation string"
 
@@ -56,11 +56,12 @@ def _safetensors_rows(raw: bytes) -> list[tuple]:
 
 def _onnx_rows(raw: bytes) -> list[tuple]:
     graph = onnx.Message(onnx.Message(raw).bytes(7))
-    out = []
+    out, parts = [], []
     for t in map(onnx.Message, graph.all_bytes(5)):
         kind = t.varint(2) or 0
-        out.append((t.bytes(8).decode("utf-8", "replace"), str(kind), tuple(t.varints(1)), 0, len(t.bytes(9)), onnx._data(t, kind)))
-    return out
+        out.append((t.bytes(8).decode("utf-8", "replace"), str(kind), tuple(t.varints(1)), 0, len(t.bytes(9))))
+        parts.append([onnx.tensor_data(t, kind)])
+    return [(*row, d) for row, d in zip(out, joined(parts), strict=True)]
 
 
 READERS = {"gguf": _gguf_rows, "safetensors": _safetensors_rows, "onnx": _onnx_rows}
