@@ -1,12 +1,13 @@
-"""Near-duplicate documents by DartMinHash over sets of word shingles.
+"""Near-duplicate documents by DartMinHash over weighted sets of word shingles: a shingle weighs as often as it occurs.
 
 Darts are thrown at each element's region, weight by rank: a Poisson process of rate one over the
 rank axis for every unit of weight, made by hashes of the element alone, so that two documents see the
 same darts over the part of the region that they share. Only darts up to a rank that a text of its
 total weight needs are made, about k ln k + 2k for k coordinates, however large the text; a
 coordinate keeps its earliest dart. Two signatures agree in a coordinate with a probability of the
-weighted Jaccard similarity. Bands of coordinates are joined, and documents that share one are
-verified by the exact Jaccard similarity of their shingles' hashes (32 bits).
+weighted Jaccard similarity, the sum of lesser weights over the sum of greater ones. Bands of coordinates are
+joined, and documents that share one are verified by that similarity itself, on 32-bit hashes: a shingle's
+second, third and further occurrences are elements of their own, so that it is a similarity of plain sets.
 
 Texts that are equal are grouped first; only one of each takes part in the rest. A null text or id
 is in no group: its class is its own id. Texts without words are near only to equal texts.
@@ -100,6 +101,15 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return mix(total + np.arange(1, parts.shape[1] + 1, dtype=U)[None, :])
 
 
+def occurrences(element: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An element for each occurrence: the first as it is, the others with their number mixed in."""
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    each = np.repeat(element, count)
+    more = nth > 0
+    each[more] = mix(each[more] + mix(nth[more].astype(U)))
+    return each, np.repeat(doc, count)
+
+
 def sets32(element: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
     """Each text's elements as ascending unsigned 32-bit integers."""
     values, doc, _ = distinct_by_text((element >> U(32)).astype(np.uint32), doc)
@@ -107,7 +117,7 @@ def sets32(element: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def signatures(df: DataFrame, weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(df: DataFrame, weighted: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, key, bands, set): a digest of the text, its band keys and its shingles, for (doc_id, text).
 
     weighted: a shingle weighs as often as it occurs; else one.
@@ -129,7 +139,7 @@ def signatures(df: DataFrame, weighted: bool = False, bands: int = BANDS, rows:
                         b.column(0).slice(low, high - low),
                         pa.array([hashlib.md5(x.as_buffer(), usedforsecurity=False).digest() for x in part], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].reshape(-1).view(np.int64))),
-                        pa.array(sets32(element, doc, t.n), pa.binary()),
+                        pa.array(sets32(*(occurrences(element, doc, count) if weighted else (element, doc)), t.n), pa.binary()),
                     ],
                     ["doc_id", "key", "bands", "set"],
                 )
@@ -138,7 +148,7 @@ def signatures(df: DataFrame, weighted: bool = False, bands: int = BANDS, rows:
     return frame.mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>, set binary")
 
 
-def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """(doc_id, class_id) for every row of df (doc_id, text).
 
     class_id is the least doc_id of those that links of `threshold` or more connect, the row's own for

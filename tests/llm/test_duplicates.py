@@ -21,8 +21,9 @@ def edited(r, text, n):
 
 
 def shingles(text):
+    """Shingles with how often each occurs."""
     w = (text or "").split()
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
 
 
 def roots(n, links):
@@ -79,6 +80,9 @@ def near_rows(r):
     for g in range(12):
         base = prose(r, 150)
         rows += [edited(r, base, r.choice((0, 0, 1, 2, 3, 6))) for _ in range(r.choice((2, 3, 25)))]
+    for _ in range(6):  # the same shingles, but not as often: similar as sets, not as weighted sets
+        line = prose(r, 30)
+        rows += [" ".join([line] * n) for n in (2, 3, 8, 9)]
     rows += [prose(r, r.randint(5, 200)) for _ in range(60)]
     r.shuffle(rows)
     return list(enumerate(rows))
@@ -88,7 +92,7 @@ def test_classes_equal_brute_force(spark):
     r = random.Random(11)
     rows = near_rows(r)
     sets = [shingles(t) for _, t in rows]
-    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total()]
     got = {x["doc_id"]: x["class_id"] for x in N.classes(docs(spark, rows)).collect()}
     want = roots(len(rows), links)
     wrong = [k for k in range(len(rows)) if got[k] != want[k]]
@@ -103,7 +107,7 @@ def test_many_members_few_pairs(spark):
     base = prose(r, 150)
     rows = list(enumerate([base, *(edited(r, base, r.randint(0, 12)) for _ in range(150))]))
     sets = [shingles(t) for _, t in rows]
-    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total()]
     want = roots(len(rows), links)
     got = {x["doc_id"]: x["class_id"] for x in N.classes(docs(spark, rows)).collect()}
     assert sum(got[k] != want[k] for k in range(len(rows))) <= 2
