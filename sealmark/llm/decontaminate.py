@@ -8,7 +8,8 @@ the partition's largest size, makes sure that every containing document has one
 loses nothing. Every run of every document is looked up among these values; a hit makes a candidate.
 Candidates are then verified on the runs' words themselves.
 
-Items of fewer than five words have no run and are found nowhere; null texts count as empty.
+An item of fewer than five words is one run of all its words, found where they stand in a row. Items
+without words are found nowhere; null texts count as empty.
 """
 
 from __future__ import annotations
@@ -24,18 +25,30 @@ _TRIM = " \t\n\x0b\x0c\r"
 
 
 def word_array(text: str | Column) -> Column:
-    """The words of a text in lower case, as an array; null for a text of fewer than WIDTH words."""
-    words = F.split(F.btrim(F.lower(text), F.lit(_TRIM)), _GAP)
-    return F.when(F.size(words) >= WIDTH, words)
+    """The words of a text in lower case, as an array; null for a text without words."""
+    bare = F.btrim(F.lower(text), F.lit(_TRIM))
+    return F.when(bare != "", F.split(bare, _GAP))
 
 
-def runs(df: DataFrame, *keep: str) -> DataFrame:
-    """One row for each run: keep's columns, its words w0.. and their hash."""
-    words = df.select(*keep, word_array("text").alias("_w")).filter(F.col("_w").isNotNull())
-    n = F.size("_w") - (WIDTH - 1)
-    parts = F.arrays_zip(*(F.slice("_w", k + 1, n).alias(f"w{k}") for k in range(WIDTH)))
+def runs(df: DataFrame, *keep: str, width: int = WIDTH) -> DataFrame:
+    """One row for each run of `width` words: keep's columns, its words w0.. and their hash."""
+    words = df.select(*keep, word_array("text").alias("_w"))  # no filter on words: it would split each text once more
+    n = F.greatest(F.size("_w") - (width - 1), F.lit(0))
+    parts = F.arrays_zip(*(F.slice("_w", k + 1, n).alias(f"w{k}") for k in range(width)))
     rows = words.select(*keep, F.inline(parts))
-    return rows.select(*keep, *(F.col(f"w{k}") for k in range(WIDTH)), F.xxhash64(*(f"w{k}" for k in range(WIDTH))).alias("run"))
+    return rows.select(*keep, *(F.col(f"w{k}") for k in range(width)), F.xxhash64(*(f"w{k}" for k in range(width))).alias("run"))
+
+
+def short_items(docs: DataFrame, items: DataFrame, broadcast_rows: int) -> DataFrame | None:
+    """contained()'s rows for the items of fewer than WIDTH words; None if there are none."""
+    sized = items.withColumn("_n", F.size(word_array("text")))
+    found = None
+    for n in sorted(r["_n"] for r in sized.filter(F.col("_n").between(1, WIDTH - 1)).select("_n").distinct().collect()):  # WIDTH - 1 at most
+        few = common.maybe_broadcast(common.table(runs(sized.filter(F.col("_n") == n), "item_id", width=n).distinct(), "short-items"), broadcast_rows)
+        hits = runs(docs, "doc_id", width=n).join(few, [f"w{k}" for k in range(n)] + ["run"]).select("doc_id", "item_id").distinct()
+        found = hits if found is None else found.union(hits)
+    one = F.lit(1).cast("bigint")
+    return None if found is None else found.select("doc_id", "item_id", one.alias("n_item"), one.alias("n_shared"), F.lit(1.0).alias("containment"))
 
 
 def sketches(item_runs: DataFrame, threshold: float) -> DataFrame:
@@ -69,7 +82,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadca
     shared = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     sizes = common.maybe_broadcast(item_runs.groupBy("item_id").agg(F.count("*").alias("n_item")), broadcast_rows)
     both = shared.join(found, ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")
-    return both.filter(F.col("n_shared") >= threshold * F.col("n_item") - F.lit(1e-9)).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    whole = both.filter(F.col("n_shared") >= threshold * F.col("n_item") - F.lit(1e-9)).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    short = short_items(docs, items, broadcast_rows)
+    return whole if short is None else whole.union(short)
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:

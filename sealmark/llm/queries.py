@@ -78,20 +78,23 @@ def queries() -> dict:
     return {name: bounded(q) for name, q in found.items()}
 
 
-#: Runs of five words as in decontaminate, by string; DuckDB.
+#: Runs as in decontaminate, by string; DuckDB.
 LEAKS_SQL = r"""
 with words as (
-  select doc_id, string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') w from documents where doc_id is not null and text is not null
+  select doc_id, string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') w from documents where doc_id is not null and trim(text, E' \t\n\x0b\x0c\r') <> ''
 ), spread as (
   select distinct doc_id, array_to_string(w[i:i + 4], ' ') run from (select doc_id, w, unnest(range(1, len(w) - 3)) i from words where len(w) >= 5)
 ), item_words as (
-  select item_id, string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') w from benchmark where item_id is not null and text is not null
+  select item_id, string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') w from benchmark where item_id is not null and trim(text, E' \t\n\x0b\x0c\r') <> ''
 ), item_runs as (
   select distinct item_id, array_to_string(w[i:i + 4], ' ') run from (select item_id, w, unnest(range(1, len(w) - 3)) i from item_words where len(w) >= 5)
 ), sizes as (select item_id, count(*) n_item from item_runs group by item_id),
 shared as (select doc_id, item_id, count(*) n_shared from spread join item_runs using (run) group by doc_id, item_id)
 select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment
 from shared join sizes using (item_id) where n_shared >= 0.8 * n_item - 1e-9
+union all
+select distinct doc_id, item_id, 1, 1, 1.0 from (select item_id, len(w) n, array_to_string(w, ' ') run from item_words where len(w) < 5)
+join (select doc_id, n, array_to_string(w[i:i + n - 1], ' ') run from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from words, (select distinct len(w) n from item_words where len(w) < 5) l)) using (n, run)
 """
 
 

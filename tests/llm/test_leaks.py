@@ -10,13 +10,22 @@ def runs(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
+def holds(item, text):
+    """n_item and n_shared of an item that the text contains, else None."""
+    q, w, x = runs(item), (item or "").lower().split(), (text or "").lower().split()
+    if 0 < len(w) < 5:
+        return (1, 1) if any(x[k : k + len(w)] == w for k in range(len(x))) else None
+    both = q & runs(text)
+    return (len(q), len(both)) if q and len(both) >= 0.8 * len(q) else None
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string")
 
 
 def test_equals_brute_force(spark):
     r = random.Random(4)
-    bench = [(k, prose(r, r.choice((5, 6, 9, 20, 40, 90)))) for k in range(40)] + [(90, "too short item"), (91, None), (None, "a b c d e f g")]
+    bench = [(k, prose(r, r.choice((5, 6, 9, 20, 40, 90)))) for k in range(40)] + [(90, "Too short item"), (91, None), (92, "one"), (93, " two\t words "), (94, "kalomi0 never there"), (95, " "), (None, "a b c d e f g"), (None, "a b")]
     rows = [(k, prose(r, 60)) for k in range(40)]
     for k in range(40, 160):
         w = r.choice(bench[:40])[1].split(" ")
@@ -24,12 +33,9 @@ def test_equals_brute_force(spark):
             w[r.randrange(len(w))] = "zzz"
         cut = " ".join(w[: max(5, int(len(w) * r.choice((1, 1, 0.9, 0.8, 0.7))))])
         rows.append((k, f"{prose(r, r.randint(0, 900))}\n {cut.upper() if k % 2 else cut}\t{prose(r, 30)}"))
-    want = set()
-    for i, t in bench:
-        q = runs(t)
-        for k, x in rows:
-            if q and i is not None and len(q & runs(x)) >= 0.8 * len(q):
-                want.add((k, i, len(q), len(q & runs(x))))
+    rows += [(200, "one"), (201, "this is too\nshort ITEM of one"), (202, "two words and two words"), (203, "short item too a b"), (204, ""), (205, None)]
+    want = {(k, i, *found) for i, t in bench if i is not None for k, x in rows if (found := holds(t, x))}
+    assert {(200, 92, 1, 1), (201, 90, 1, 1), (202, 93, 1, 1)} <= want
     for limit in (2_000_000, 0):  # broadcast and shuffled
         got = {(x["doc_id"], x["item_id"], x["n_item"], x["n_shared"]) for x in D.contained(docs(spark, rows), items(spark, bench), broadcast_rows=limit).collect()}
         assert got == want
