@@ -8,9 +8,10 @@ and the encoding is the one path of weight 0: a Viterbi path over pieces in the
 
 A text is cut into chunks at fixed places. The state at a cut is the piece that covers the character
 before it. A chunk's transfer matrix tells which states at its end each state at its beginning leads
-to. Matrices are made in parallel; a text's are then passed through in order in one task, backward (which
-states reach the end) and forward (which one is taken), and once each chunk's first state is known, chunks
-are backtraced independently. A text of one chunk has one state at either end.
+to. Matrices are made in parallel and combined by the associative max-plus product in a tree, FAN neighbours
+to a product, any number of products at once. From the root down, a product's states at its two ends tell
+those of its parts; once each chunk's are known, chunks are backtraced independently. No task holds more
+than FAN matrices of a text at a time. A text of one chunk has one state at either end.
 Where no piece spans two neighbouring characters (before a space mark, at line feeds) every path has a
 boundary, so between two such places a stretch is encoded on its own, and cached.
 
@@ -20,6 +21,8 @@ empty texts have no ids.
 
 from __future__ import annotations
 
+import ast
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +42,8 @@ CHUNK = 1 << 15
 REMEMBERED = 300_000
 #: Pairs of pieces of which a worker remembers whether they are stable.
 REMEMBERED_PAIRS = 400_000
+#: Neighbouring matrices that one product takes.
+FAN = 16
 START, END = -1, -2
 
 
@@ -353,16 +358,16 @@ def chunk_matrix(m: Model, text: str, begin: int, cut: int, shift: int, first: b
     return {_absolute(e, shift): {_absolute(x, shift) for x in to} for e, to in m.transfer(text, begin, cut, first, final).items()}
 
 
-def scan_states(matrices: list[dict]) -> list[tuple]:
-    """(state at its beginning, state at its end) of each chunk, given all matrices of a text in order.
+def inner_states(matrices: list[dict], entry=START, leave=END) -> list[tuple]:
+    """(state at its beginning, state at its end) of each of some neighbouring matrices, given those of them together.
 
-    A pass from the end tells which states can still reach it; then each chunk's state follows in order.
+    A pass from the end tells which states can still reach it; then each state follows in order.
     """
     n = len(matrices)
-    good: list[set] = [set()] * n + [{END}]
+    good: list[set] = [set()] * n + [{leave}]
     for k in range(n - 1, -1, -1):
         good[k] = {s for s, to in matrices[k].items() if to & good[k + 1]}
-    out, state = [], START
+    out, state = [], entry
     for k in range(n):
         (after,) = matrices[k][state] & good[k + 1]  # there is one stable path
         out.append((state, after))
@@ -370,6 +375,26 @@ def scan_states(matrices: list[dict]) -> list[tuple]:
     return out
 
 
+def tree_states(matrices: list[dict], fan: int = FAN) -> list[tuple]:
+    """inner_states() of a whole text by products in a tree; what encode() does over a cluster."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([functools.reduce(product, last[k : k + fan]) for k in range(0, len(last), fan)])
+    states = [(START, END)] * len(levels[-1])
+    for below in reversed(levels[:-1]):
+        states = [s for k, (a, z) in enumerate(states) for s in inner_states(below[k * fan : (k + 1) * fan], a, z)]
+    return states
+
+
+def _write(matrix: dict) -> str:
+    return repr(sorted(((e, sorted(to, key=repr)) for e, to in matrix.items()), key=repr))
+
+
+def _read(text: str) -> dict:
+    return {e: set(to) for e, to in ast.literal_eval(text)}
+
+
 def cut_places(n: int, chunk: int = CHUNK) -> list[int]:
     return [*range(chunk, n, chunk), n] if n else []
 
@@ -382,7 +407,7 @@ def encode_by_chunks(m: Model, text: str, chunk: int) -> list[int]:
     for part in chunk_parts(m, text, chunk):
         pieces.append(chunk_matrix(m, *part))
     out: list[int] = []
-    for part, (a, b) in zip(chunk_parts(m, text, chunk), scan_states(pieces), strict=True):
+    for part, (a, b) in zip(chunk_parts(m, text, chunk), tree_states(pieces), strict=True):
         t, begin, cut, shift, *_ = part
         out += m.trace(t, begin, cut, _absolute(a, -shift), _absolute(b, -shift))
     return out
@@ -456,19 +481,22 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, digests: bool = False,
             out = []
             for part, place in zip(rows["part"], rows["place"], strict=True):
                 begin, end, shift, first, final = place
-                out.append(repr(sorted((e, sorted(to, key=repr)) for e, to in chunk_matrix(m, part, begin, end, shift, bool(first), bool(final)).items())))
+                out.append(_write(chunk_matrix(m, part, begin, end, shift, bool(first), bool(final))))
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array(out, pa.string())], ["_row", "k", "matrix"])
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ast
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_write(functools.reduce(product, (_read(x["matrix"]) for x in some))) for some in b.column("m").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array(out, pa.string())], ["_row", "k", "matrix"])
 
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = lambda x: x[0] if len(x) == 1 else tuple(x)
         for b in batches:
             row, k, entry, leave = [], [], [], []
-            for r, matrices in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                states = scan_states([{e: set(to) for e, to in ast.literal_eval(x["matrix"])} for x in matrices])
-                for i, (s, t) in enumerate(states):
+            for r, some, a, z in zip(*(b.column(c).to_pylist() for c in ("_row", "m", "entry", "leave")), strict=True):
+                for x, (s, t) in zip(some, inner_states([_read(x["matrix"]) for x in some], state(a), state(z)), strict=True):
                     row.append(r)
-                    k.append(i)
+                    k.append(x["k"])
                     entry.append([s] if isinstance(s, int) else list(s))
                     leave.append([t] if isinstance(t, int) else list(t))
             pairs = pa.list_(pa.int64())
@@ -485,9 +513,21 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, digests: bool = False,
                 out.append(m.trace(part, begin, end, *ends))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), b.column("k"), b.column("n"), b.column("crc"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "_row", "k", "n", "crc", "ids"])
 
+    def gathered(level: DataFrame) -> DataFrame:
+        """FAN neighbours of a level to a row."""
+        parent = F.floor(F.col("k") / FAN).cast("int")
+        return level.groupBy("_row", parent.alias("up")).agg(F.sort_array(F.collect_list(F.struct("k", "matrix"))).alias("m")).withColumnRenamed("up", "k")
+
     matrices = long.select("_row", "part", "place", "k").mapInArrow(measure, "_row bigint, k int, matrix string")
-    gathered = matrices.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("k", "matrix"))).alias("m"))
-    states = gathered.mapInArrow(combine, "_row bigint, k int, entry array<bigint>, leave array<bigint>")
+    levels = [common.table(matrices, "matrices")]
+    most = long.agg(F.max("n")).first()[0] or 1
+    while most > 1:
+        most = -(-most // FAN)
+        levels.append(common.table(gathered(levels[-1]).mapInArrow(multiply, "_row bigint, k int, matrix string"), "products"))
+    pair = "array<bigint>"
+    states = levels[-1].select("_row", "k", F.array(F.lit(START)).cast(pair).alias("entry"), F.array(F.lit(END)).cast(pair).alias("leave"))
+    for below in reversed(levels[:-1]):
+        states = gathered(below).join(states, ["_row", "k"]).mapInArrow(divide, "_row bigint, k int, entry array<bigint>, leave array<bigint>")
     traced = long.join(states, ["_row", "k"]).select("doc_id", "_row", "part", "place", "k", "n", "crc", "entry", "leave")
     traced = traced.mapInArrow(back, f"doc_id {kind}, _row bigint, k int, n int, crc bigint, ids array<int>")
     joined = traced.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("c"), F.first("n").alias("n_chunks"), F.first("crc").alias("text_crc32"))

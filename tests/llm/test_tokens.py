@@ -108,6 +108,15 @@ def test_product_is_associative(codec):
     assert C.product(C.product(a, b), c) == C.product(a, C.product(b, c))
 
 
+def test_products_in_a_tree_give_the_states_of_a_pass(codec):
+    r = random.Random(5)
+    for n in (1, 30, 400, 1500):
+        text = codec.normalised("".join(r.choice("aeinrst ") for _ in range(n)))
+        matrices = [C.chunk_matrix(codec, *p) for p in C.chunk_parts(codec, text, 7)]
+        for fan in (2, 3, 16):
+            assert C.tree_states(matrices, fan) == C.inner_states(matrices)
+
+
 def test_codec_on_tables(spark, sp):
     r = random.Random(7)
     giant = "".join(r.choice("aeinrstlo") for _ in range(3000)) + " " + prose(r, 800)
