@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,6 +54,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Frees the shuffle files of steps that are over, which otherwise stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes the files of a table() that nothing will read again."""
     spark = df.sparkSession
