@@ -67,6 +67,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs (a, b) whose sets (node, set) have a Jaccard similarity of threshold at least."""
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ok = pa.array([jaccard(p.as_buffer(), q.as_buffer()) >= threshold - 1e-9 for p, q in zip(x.column(2), x.column(3), strict=True)], pa.bool_())
@@ -78,6 +79,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def elements(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, x): a row for each element of the nodes' sets."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(1)]

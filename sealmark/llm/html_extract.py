@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|</?[a-zA-Z/!?][^>]*(?:>|\Z)|</>", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -474,6 +476,7 @@ def extract(df: DataFrame, field: Field | None = None, html_column: str = "html"
     schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), "text string, n_chars bigint"])
     sent = df.sparkSession.sparkContext.broadcast((field.index, field.emit, field.step))  # a few hundred weights
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*sent.value)
         for b in batches:

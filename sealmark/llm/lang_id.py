@@ -85,6 +85,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """How many of the texts (one column) have each slot, and how many there are."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, mark, n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool), 0
         for _, part in _text_batches(batches, 0):
@@ -195,6 +196,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", by: str = "doc_id
     rate = F.create_map(*(F.lit(x) for c in languages for x in (c, min(1.0, share / counts[c]))))[F.col("lang")]
     sample = rows.filter(draw < rate * 1_000_000).select("lang", "text", (F.pmod(F.xxhash64("by", F.lit("hold")), F.lit(5)) == 0).alias("hold")).limit(2 * fit_rows)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, part in _text_batches(batches, 1):
             found, edges, _ = slots(part)
@@ -225,6 +227,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
     schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
     sent = df.sparkSession.sparkContext.broadcast((model.languages, model.table))  # 2^16 rows, a column for each language
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = LanguageModel(*sent.value)
         for b, part in _text_batches(batches, len(keep)):

@@ -123,6 +123,7 @@ def signatures(df: DataFrame, weighted: bool = True, bands: int = BANDS, rows: i
     weighted: a shingle weighs as often as it occurs; else one.
     """
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = common.texts_of(b.column(1))

@@ -216,6 +216,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def equal_texts(df: DataFrame) -> DataFrame:
     """(doc_id, key, words, start, end, keeper, n_docs) of every document whose text several have; a table."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, column in _parts(batches):
             t = Texts(column)
@@ -235,6 +236,7 @@ def equal_texts(df: DataFrame) -> DataFrame:
 def seeds(df: DataFrame) -> DataFrame:
     """A row for each seed of df (doc_id, text)."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, column in _parts(batches):
             p = paragraphs(column)
@@ -246,6 +248,7 @@ def seeds(df: DataFrame) -> DataFrame:
 def units(df: DataFrame, sets: bool) -> DataFrame:
     """A row for each paragraph of df (doc_id, text), with its bands or with its set."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, column in _parts(batches):
             p = blocks(column)
@@ -263,6 +266,7 @@ def units(df: DataFrame, sets: bool) -> DataFrame:
 def around(df: DataFrame, at: DataFrame) -> DataFrame:
     """A row for each run near the ends `at` (doc_id, place, side) of df (doc_id, text)."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, column in _parts(batches):
             # a place is written as twice itself, and one more for what comes after it

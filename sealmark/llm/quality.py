@@ -95,6 +95,7 @@ def counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     fields = {f.name: f for f in frame.schema.fields}
     schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), "_host string", *(f"{c} bigint" for c in _COUNTS), "_own bigint, _lines array<bigint>, _line_words array<int>"])
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = common.texts_of(b.column(len(keep) + 1))

@@ -22,6 +22,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from . import common
+
 KINDS = ("assign", "access", "hex", "novel")
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -154,6 +156,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     kept = [fields[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), SCHEMA, *(["redacted string"] if redact else [])])
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: dict[str, list] = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel", "redacted")}

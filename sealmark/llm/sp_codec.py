@@ -438,6 +438,7 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, digests: bool = False,
     kind = frame.schema["doc_id"].dataType.simpleString()
     long = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # the mark in front counts too
 
+    @common.lean
     def straight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, small)
         for b in batches:
@@ -452,6 +453,7 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, digests: bool = False,
                 out = pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), lists, n, crc], ["doc_id", "ids", "n_chunks", "text_crc32"])
                 yield _digested(m, out) if digests else out
 
+    @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, small)
         for b in batches:
@@ -474,6 +476,7 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, digests: bool = False,
     parts = frame.filter(long).withColumn("_row", F.monotonically_increasing_id()).mapInArrow(cut, f"doc_id {kind}, _row bigint, part string, place array<bigint>, k int, n int, crc bigint")
     long = common.table(parts.repartition("_row", "k"), "chunks")
 
+    @common.lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, small)
         for b in batches:
@@ -484,11 +487,13 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, digests: bool = False,
                 out.append(_write(chunk_matrix(m, part, begin, end, shift, bool(first), bool(final))))
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array(out, pa.string())], ["_row", "k", "matrix"])
 
+    @common.lean
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [_write(functools.reduce(product, (_read(x["matrix"]) for x in some))) for some in b.column("m").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("k"), pa.array(out, pa.string())], ["_row", "k", "matrix"])
 
+    @common.lean
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = lambda x: x[0] if len(x) == 1 else tuple(x)
         for b in batches:
@@ -502,6 +507,7 @@ def encode(df: DataFrame, path: str, chunk: int = CHUNK, digests: bool = False,
             pairs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(k, pa.int32()), pa.array(entry, pairs), pa.array(leave, pairs)], ["_row", "k", "entry", "leave"])
 
+    @common.lean
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, small)
         for b in batches:
@@ -541,6 +547,7 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     fields = {f.name: f for f in frame.schema.fields}
     schema = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep), "text string"])
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
@@ -571,6 +578,7 @@ def digest(df: DataFrame, path: str, small: bool = False) -> DataFrame:
     frame = df.select("doc_id", "ids", "n_chunks", "text_crc32")
     kind = frame.schema["doc_id"].dataType.simpleString()
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, small)
         for b in batches:

@@ -141,6 +141,7 @@ def encode(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     frame = df.select("doc_id", "text", F.spark_partition_id().alias("shard"))
     kind = frame.schema["doc_id"].dataType.simpleString()
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for b in batches:
@@ -219,6 +220,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     frame = spark.read.parquet(path).select("doc_id", "shard", "n_tokens", "ids")
     kind = frame.schema["doc_id"].dataType.simpleString()
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3)
