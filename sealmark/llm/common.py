@@ -14,6 +14,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,9 +38,11 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where all run in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sealmark-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)

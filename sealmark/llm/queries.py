@@ -10,7 +10,8 @@ from .common import bounded, read
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, names=secret_scan.identifiers(docs))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 
 from helpers import docs, edge_rows, prose
 
+from pyspark.sql import functions as F
+
 from sealmark.llm import secret_scan as S
 
 
@@ -81,10 +83,23 @@ def test_redaction_covers_overlaps():
 
 def test_query_shape(spark):
     rows = [*edge_rows(), (20, "secret: abcdef"), (21, 'x\ntoken = "0123456789abcdef01234567"')]
-    out = S.scan(docs(spark, rows), redact=True)
+    out = S.scan(docs(spark, rows))
     got = out.collect()
     assert len(got) == len(rows) and out.columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     by = {r["doc_id"]: r for r in got}
     assert by[20]["spans"] == "assign:0:14" and by[20]["base_sha256"] == hashlib.sha256(b"assign:0:14").hexdigest()
-    assert by[21]["spans"] == "assign:2:35,hex:11:35" and by[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and by[1]["redacted"] is None
+    assert by[21]["spans"] == "assign:2:35,hex:11:35" and by[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    cleaned = S.clean(docs(spark, rows).withColumn("spans", F.lit(1)).withColumn("redacted", F.lit("x")))
+    left = {r["doc_id"]: r for r in cleaned.collect()}
+    assert left[20]["text"] == "[SECRET]" and left[21]["text"] == 'x\n[SECRET]"' and left[1]["text"] is None and left[20]["redacted"] == "x" and cleaned.columns[-2:] == ["spans", "redacted"]
     assert S.scan(docs(spark, []).limit(0)).collect() == []
+
+
+def test_names_of_the_corpus_prime_the_compressor(spark):
+    rows = [(k, "use client_side_renderer and fetchAllRows, once " + ("only_here_named" if k == 1 else "")) for k in range(4)] + [(9, None), (10, "")]
+    names = S.identifiers(docs(spark, rows))
+    assert names == b"fetchAllRows client_side_renderer" and S.identifiers(docs(spark, []).limit(0)) == b""
+    assert S.novelty("client_side_renderer2fetchAllRows1", "see here", names) < 0.5 < S.novelty("client_side_renderer2fetchAllRows1", "see here")
+    r = random.Random(3)
+    key = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40))
+    assert S.novelty(key, "see here", names) > 0.5
