@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @common.bounded
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark."""
-    found = secret_scan.scan(docs, keep=tuple(docs.columns), redact=True)
-    return found.select(*(F.col("redacted").alias("text") if c == "text" else F.length("redacted").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    found = secret_scan.clean(docs, names=secret_scan.identifiers(docs))
+    return found.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else found
 
 
 @common.bounded
