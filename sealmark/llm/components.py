@@ -17,15 +17,40 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame) -> DataFrame:
+def joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in links a, b, and the least id of the component of each."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(ids))
+    while True:
+        low = np.minimum(up[x], up[y])
+        if (up[x] == up[y]).all():
+            return ids, ids[up]
+        np.minimum.at(up, up[x], low)
+        np.minimum.at(up, up[y], low)
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def components(links: DataFrame, one_task: int = 500_000) -> DataFrame:
     """(node, comp) for every id in links (a, b); comp is the least id of the component.
 
-    By contraction: each node hooks to its neighbour with the most links (ties by a hash that changes
-    with the round), or to itself; then links are rewritten to the nodes hooked to. That order has no
-    cycles. A star is gone after one round; in general each round removes a fixed share of the nodes.
+    Up to `one_task` links, by a count, one task joins them up. More go by contraction: each node hooks to
+    its neighbour with the most links (ties by a hash that changes with the round), or to itself; then links
+    are rewritten to the nodes hooked to. That order has no cycles. A star is gone after one round; in general each round removes a fixed share of the nodes.
     """
     spark = links.sparkSession
     edges = common.table(links.filter("a <> b").select("a", "b").distinct(), "links")
+    if common.small_enough(edges, one_task):
+
+        @common.lean
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+            if parts:
+                node, comp = joined_up(*map(np.concatenate, zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp)], ["node", "comp"])
+
+        return common.table(edges.coalesce(1).mapInArrow(run, "node bigint, comp bigint"), "components")
     names: DataFrame | None = None
     turn = 0
     while not edges.isEmpty():

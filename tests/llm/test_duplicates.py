@@ -44,10 +44,11 @@ def roots(n, links):
 def test_components(spark):
     r = random.Random(5)
     links = [(a, b) for a, b in ((r.randrange(300), r.randrange(300)) for _ in range(160))] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
-    got = {x["node"]: x["comp"] for x in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     want = roots(600, links)
-    assert got == {k: want[k] for k in {x for p in links if p[0] != p[1] for x in p}}
-    assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+    for one_task in (500_000, 0):  # in one task, and by contraction
+        got = {x["node"]: x["comp"] for x in components(spark.createDataFrame(links, "a bigint, b bigint"), one_task).collect()}
+        assert got == {k: want[k] for k in {x for p in links if p[0] != p[1] for x in p}}
+        assert components(spark.createDataFrame([], "a bigint, b bigint"), one_task).collect() == []
 
 
 def test_signatures_estimate_similarity():
