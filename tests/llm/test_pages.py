@@ -1,5 +1,9 @@
+import collections
 import html
 
+from pages_by_hand import PAGES
+from pages_by_hand import page as by_hand
+
 from sealmark.llm import html_extract as H
 
 FIELD = H.default_field()
@@ -67,3 +71,23 @@ def test_query_shape(spark):
     rows = H.extract(df).collect()
     assert len(rows) == 4 and sorted(r["n_chars"] for r in rows) == [0, 0, 52, 52] and all(len(r["text"]) == r["n_chars"] for r in rows)
     assert H.extract(df.limit(0)).collect() == []
+
+
+def test_pages_that_the_generator_did_not_make():
+    """Main text is found whole, and little of each other part comes with it."""
+    field = H.default_field()
+    size, taken = collections.Counter(), collections.Counter()
+    for marked in PAGES:
+        page, parts = by_hand(marked)
+        text = H.extract_text(page, field)
+        main = " ".join(t for kind, t in parts if kind == "article")
+        for kind, t in parts:
+            if kind == "article" or t not in main:
+                size[kind] += len(t)
+                taken[kind] += len(t) * (t in text)
+    recall = taken["article"] / size["article"]
+    precision = taken["article"] / sum(taken.values())
+    assert 2 * precision * recall / (precision + recall) > 0.95
+    leaked = {kind: round(taken[kind] / n, 2) for kind, n in size.items() if kind != "article"}
+    assert set(leaked) == {"nav", "header", "notice", "ad", "aside", "form", "share", "footer", "comments"}
+    assert all(x <= (0.25 if kind == "nav" else 0.05) for kind, x in leaked.items()), leaked
