@@ -31,6 +31,9 @@ from . import common
 
 #: Pieces whose ids a worker remembers.
 REMEMBERED = 900_000
+#: Bytes of text of a shard at most, or fewer with more shuffle partitions.
+SHARD_BYTES = 128 << 20
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -137,13 +140,13 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, shard, n_tokens, ids) for df (doc_id, text), in df's partitions and order; ids end with end_id."""
+    """(doc_id, shard, place, n_tokens, ids) for df (doc_id, text), in df's partitions and order; ids end with end_id."""
     frame = df.select("doc_id", "text", F.spark_partition_id().alias("shard"))
     kind = frame.schema["doc_id"].dataType.simpleString()
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder, done = encoder(path), 0
         for b in batches:
             column = common.texts_of(b.column(1))
             for low, high in common.steps(column, 1 << 19):
@@ -154,9 +157,11 @@ def encode(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 end = np.int32(end_id).tobytes()
                 flat = np.frombuffer(end.join([*ids, b""]), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(2).slice(low, high - low), pa.array(n), lists], ["doc_id", "shard", "n_tokens", "ids"])
+                place = pa.array(np.arange(done, done + len(n)))
+                done += len(n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(2).slice(low, high - low), place, pa.array(n), lists], ["doc_id", "shard", "place", "n_tokens", "ids"])
 
-    return frame.mapInArrow(run, f"doc_id {kind}, shard int, n_tokens bigint, ids array<int>")
+    return frame.mapInArrow(run, f"doc_id {kind}, shard int, place bigint, n_tokens bigint, ids array<int>")
 
 
 def write(
@@ -171,8 +176,12 @@ def write(
 ) -> None:
     """Writes the ids of df (doc_id, text) to a folder of Parquet files, ascending in doc_id over files and rows."""
     spark = df.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    if shards is None:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # rows of one id, or without an id, may be many: their texts, and their own numbers, spread them over shards
+    each = df.select("doc_id", "text", F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_own"))
+    ordered = each.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "_text", "_own").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_text", "_own").select("doc_id", "text")
     (
         encode(ordered, tokenizer, end_id)
         .write.option("parquet.writer.version", "PARQUET_2_0")
@@ -199,14 +208,14 @@ def read_offsets(spark: SparkSession, path: str) -> DataFrame:
 
     Sums run within shards; a shard's own start is the sum of the few shards before it.
     """
-    meta = spark.read.parquet(path).select("doc_id", "shard", "n_tokens")
+    meta = spark.read.parquet(path).select("doc_id", "shard", "place", "n_tokens")
     shards = meta.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     ahead = shards.select("shard", (F.sum("_n").over(W.orderBy("shard")) - F.col("_n")).alias("_ahead"))
     return _started(meta, ahead).select("doc_id", "start", "n_tokens")
 
 
 def _started(meta: DataFrame, ahead: DataFrame) -> DataFrame:
-    inside = W.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("shard").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return meta.withColumn("_before", before).join(ahead, "shard").withColumn("start", F.col("_ahead") + F.col("_before"))
 
@@ -217,7 +226,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     Each file is read by one task from its beginning or by several from its row groups; ids are digested
     where they are read and only (doc_id, n_tokens, crc) moves on.
     """
-    frame = spark.read.parquet(path).select("doc_id", "shard", "n_tokens", "ids")
+    frame = spark.read.parquet(path).select("doc_id", "shard", "place", "ids")
     kind = frame.schema["doc_id"].dataType.simpleString()
 
     @common.lean
@@ -226,9 +235,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             lists = b.column(3)
             values, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(values[a:z]) for a, z in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "place", "n_tokens", "ids_crc32"])
 
-    meta = common.table(frame.mapInArrow(run, f"doc_id {kind}, shard int, n_tokens bigint, ids_crc32 bigint"), "token-digests")
+    meta = common.table(frame.mapInArrow(run, f"doc_id {kind}, shard int, place bigint, n_tokens bigint, ids_crc32 bigint"), "token-digests")
     shards = meta.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
     ahead = shards.select("shard", (F.sum("_n").over(W.orderBy("shard")) - F.col("_n")).alias("_ahead"))
     return _started(meta, ahead).select("doc_id", "start", "n_tokens", "ids_crc32")
