@@ -129,7 +129,7 @@ def rare_pairs(rows: DataFrame, sets: DataFrame, threshold: float, rare: int) ->
     nodes = rows.select("node").distinct()
     sized = sets.join(nodes, "node", "left_semi").select("node", n)
     least = rows.join(sized, "node").groupBy("band").agg(F.min("n").alias("k"))
-    need = rows.join(least, "band").groupBy("node", "comp").agg(F.min("k").alias("k")).join(sized, "node")
+    need = met(rows, least, "least-sizes").groupBy("node", "comp").agg(F.min("k").alias("k")).join(sized, "node")
     shared = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.greatest(F.col("k"), F.ceil(threshold * F.col("n") - 1e-9))) - 1e-9)
     need = common.table(need.select("node", "comp", "n", (F.col("n") - shared + 1).alias("p")), "prefixes")
 
@@ -150,6 +150,15 @@ def rare_pairs(rows: DataFrame, sets: DataFrame, threshold: float, rare: int) ->
     return pairs.select("a", "b"), done
 
 
+def met(rows: DataFrame, keyed: DataFrame, name: str, most: int = 300_000) -> DataFrame:
+    """rows (node, band, ..) with what keyed has for their band, one row each.
+
+    keyed is sent to all tasks if it is small. Else it comes from a table of its own, not from an aggregate of the
+    same exchange, so that a hot band's rows are split over tasks (adaptive skew joins).
+    """
+    return rows.join(common.maybe_broadcast(common.table(keyed, name), most), "band")
+
+
 def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: int = 3, pairs_per_row: int = 4, rare: int = 16, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """((node, comp) of nodes with a link, the links found) for nodes that share a band.
 
@@ -164,7 +173,7 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
     components are.
     """
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = common.table(bands.join(sizes, "band"), "shared-bands")
+    shared = common.table(met(bands, sizes, "band-sizes"), "shared-bands")
     weight = shared.groupBy("node").agg(F.sum("size").alias("w"))
     rows = common.table(shared.select("node", "band").join(weight, "node"), "band-rows")
     colliding = common.maybe_broadcast(rows.select("node").distinct(), broadcast_rows)
@@ -177,7 +186,7 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
 
     def several(left: DataFrame) -> DataFrame:
         many = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-        return left.join(many, "band").select("node", "band", "w", "comp")
+        return met(left, many, "many").select("node", "band", "w", "comp")
 
     def mixed(left: DataFrame, comps: DataFrame) -> DataFrame:
         """The rows of bands with different components, with each member's component."""
@@ -185,7 +194,7 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
         return common.table(several(left), "mixed-bands")
 
     leader = rows.groupBy("band").agg(F.max(F.struct("w", "node")).alias("l"))
-    pick = rows.join(leader, "band").filter(F.col("node") != F.col("l.node")).groupBy("node").agg(F.max("l")["node"].alias("to"))
+    pick = met(rows, leader, "leaders").filter(F.col("node") != F.col("l.node")).groupBy("node").agg(F.max("l")["node"].alias("to"))
     links, tried = checked(pick.select(F.col("node").alias("a"), F.col("to").alias("b")), None)
     comps = components(links)
     rows = mixed(rows, comps)
@@ -201,7 +210,7 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
         if not size or left <= pairs_per_row * size:
             break
         leader = rows.groupBy("band").agg(F.max(F.struct("w", "node", "comp")).alias("l"))
-        led = rows.join(leader, "band").select("node", "band", "w", "comp", F.col("l.node").alias("to"), F.col("l.comp").alias("to_comp"))
+        led = met(rows, leader, "leaders").select("node", "band", "w", "comp", F.col("l.node").alias("to"), F.col("l.comp").alias("to_comp"))
         new, tried = checked(led.filter("comp <> to_comp").select(F.col("node").alias("a"), F.col("to").alias("b")), tried)
         links = links.union(new)
         rows = mixed(led.filter("node <> to"), components(links))
