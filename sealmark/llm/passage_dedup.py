@@ -283,7 +283,7 @@ def exact(texts: DataFrame, broadcast_rows: int) -> DataFrame:
     """The runs that lie in two documents or more: _NAMES, n_docs, and whether the document is not the least that has it."""
     rows = seeds(texts)
     twice = rows.groupBy("node").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last"), F.sum("first").cast("int").alias("n_docs")).filter("keeper < _last").drop("_last")
-    twice = common.maybe_broadcast(common.table(twice, "repeated-seeds"), broadcast_rows)
+    twice = common.table(twice, "repeated-seeds")  # grows with the corpus, and is joined alike at every size
     again = rows.join(twice, "node").withColumn("removed", F.col("doc_id") != F.col("keeper"))  # the seeds come from the texts again
     again = common.table(again.drop("keeper", "first"), "seeds")
     common.sweep(texts.sparkSession)
