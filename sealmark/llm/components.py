@@ -115,8 +115,10 @@ def elements(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(run, "node bigint, x int")
 
 
-def rare_pairs(rows: DataFrame, sets: DataFrame, threshold: float, rare: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) of different components, nodes that need no other pairs), by a prefix filter.
+def rare_pairs(rows: DataFrame, sets: DataFrame, threshold: float, rare: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs (a, b) of different components, nodes that need no other pairs, sizes), by a prefix filter.
+
+    sizes has (node, n, shareable): a set's elements, and how many of them another set has.
 
     rows has (node, band, comp). Sets of n and k elements with a similarity of t share t / (1 + t) (n + k)
     elements or more; so, with k the least size in a node's bands, a set of n that shares q may miss
@@ -147,7 +149,8 @@ def rare_pairs(rows: DataFrame, sets: DataFrame, threshold: float, rare: int) ->
     marked = first.join(done.withColumn("hard", F.lit(True)), "node", "left")
     a, b = (marked.select("x", F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("hard").alias("h" + k)) for k in "ab")
     pairs = a.join(b.withColumnRenamed("x", "y"), (F.col("x") == F.col("y")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("ha").isNotNull() | F.col("hb").isNotNull()))
-    return pairs.select("a", "b"), done
+    sizes = need.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("shareable"))
+    return pairs.select("a", "b"), done, sizes
 
 
 def met(rows: DataFrame, keyed: DataFrame, name: str, most: int = 300_000) -> DataFrame:
@@ -169,8 +172,8 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
     further links could not change the components. In the other bands, nodes with enough rare elements
     are compared with those that share these (rare_pairs) and are done. Of the others, members are
     compared with leaders of other components, and a leader that all were compared with leaves; once
-    few pairs are left (or after `stars` rounds, however many are left) all pairs between different
-    components are.
+    few pairs are left (or after `stars` rounds) those pairs between different components are whose sets
+    have enough elements that any other set has.
     """
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = common.table(met(bands, sizes, "band-sizes"), "shared-bands")
@@ -200,7 +203,7 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
     rows = mixed(rows, comps)
     if rows.isEmpty():
         return comps, links
-    pairs, done = rare_pairs(rows, sets, threshold, rare)
+    pairs, done, sizes = rare_pairs(rows, sets, threshold, rare)
     new, tried = checked(pairs, tried)
     links = links.union(new)
     rows = common.table(several(rows.join(done, "node", "left_anti")), "mixed-bands")
@@ -215,12 +218,13 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
         links = links.union(new)
         rows = mixed(led.filter("node <> to"), components(links))
     if not rows.isEmpty():
-        # a pair is made in the first band that it shares, once
+        # a pair is made in the first band that it shares, once, and only if what both may share is enough
         own = rows.groupBy("node").agg(F.collect_set("band").alias("all"))
-        full = common.table(rows.select("band", "node", "comp").join(own, "node"), "last-bands")
-        a, b = (full.select(F.col("band").alias("band" + k), F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("all").alias("all" + k)) for k in "ab")
+        full = common.table(rows.select("band", "node", "comp").join(own, "node").join(sizes, "node"), "last-bands")
+        a, b = (full.select(F.col("band").alias("band" + k), F.col("node").alias(k), F.col("comp").alias("c" + k), F.col("all").alias("all" + k), F.col("n").alias("n" + k), F.col("shareable").alias("s" + k)) for k in "ab")
         first = F.array_min(F.array_intersect("alla", "allb")) == F.col("banda")
-        pairs = a.join(b, (F.col("banda") == F.col("bandb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & first)
+        enough = F.least("sa", "sb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+        pairs = a.join(b, (F.col("banda") == F.col("bandb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough & first)
         new, tried = checked(pairs.select("a", "b"), tried)
         links = links.union(new)
     return components(links), links
