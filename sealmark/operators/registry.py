@@ -30,8 +30,12 @@ def missing(df: DataFrame, registry: DataFrame, label: str) -> DataFrame:
 
 
 def bind(a: DataFrame, b: DataFrame, on: str, label: str, axis: str | int = DEFAULT_AXIS) -> DataFrame:
-    """(on, bound): the product label of the two sides' labels of the same key."""
-    left, right = a.select(on, F.col(label).alias("_a")), b.select(on, F.col(label).alias("_b"))
+    """(on, bound): the product label of the two sides' labels of the same key.
+
+    Both sides are sorted: Spark takes the size of labels for that of the compressed columns they are made of, and
+    would send millions of them to every task.
+    """
+    left, right = a.select(on, F.col(label).alias("_a")), b.select(on, F.col(label).alias("_b")).hint("merge")
     return left.join(right, on).select(on, compose_g2("_a", "_b", axis).alias("bound"))
 
 

@@ -61,3 +61,11 @@ def test_admission_reads_whole_texts(spark, tmp_path, monkeypatch):
     assert {x["headline"] for x in seen[names[0]]} == {x["creator"]["name"] for x in seen[names[1]]} == set(texts)
     digests = {x["subject"][0]["digest"]["sha256"] for x in seen[names[2]]}
     assert digests >= {hashlib.sha256(x.encode()).hexdigest() for x in texts}
+
+
+def test_bound_labels_are_not_broadcast(spark, duck):
+    """The files are small and the labels made of them are not; the plan can't know."""
+    df = QUERIES["compose_g2_sha256"](spark, SF)
+    rows = sorted(map(tuple, df.collect()))
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows == sorted(duck.execute(SQL["compose_g2_sha256"]).fetchall())
