@@ -6,8 +6,6 @@ those of labels, and labels serve as keys of joins and groups directly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,15 +44,14 @@ def as_column(c: Column | str) -> Column:
 def _digest_udf(axis: str):
     many = DIGESTS[axis]
 
-    @F.arrow_udf(T.BinaryType())
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            values = b.to_pylist()
-            there = [k for k, v in enumerate(values) if v is not None]
-            out: list = [None] * len(values)
-            for k, d in zip(there, many([values[k] for k in there]), strict=True):
-                out[k] = d
-            yield pa.array(out, pa.binary())
+    @F.arrow_udf(T.BinaryType())  # of arrays, as Spark starts a Python worker a task for each function of iterators
+    def digest(b: pa.Array) -> pa.Array:
+        values = b.to_pylist()
+        there = [k for k, v in enumerate(values) if v is not None]
+        out: list = [None] * len(values)
+        for k, d in zip(there, many([values[k] for k in there]), strict=True):
+            out[k] = d
+        return pa.array(out, pa.binary())
 
     return digest
 

@@ -69,3 +69,12 @@ def test_bound_labels_are_not_broadcast(spark, duck):
     rows = sorted(map(tuple, df.collect()))
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert rows == sorted(duck.execute(SQL["compose_g2_sha256"]).fetchall())
+
+
+def test_composed_labels_need_few_python_workers(spark, duck):
+    """A task needs a Python worker for each evaluation of its plan, however many labels the plan makes."""
+    name = "compose_labels_every_axis"
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 3 <= plan.count("ArrowEvalPython") <= 5
+    assert sorted(map(tuple, df.collect())) == sorted(duck.execute(SQL[name]).fetchall())
