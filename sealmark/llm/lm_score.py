@@ -14,11 +14,11 @@ target's vector, plus a bias, normalised over all classes, or over the units of
 products. The third shares a tail among its words by their counts less a discount, and what the discounts leave
 is the probability of a word that training has not seen (one share for all of those). All are normalised.
 
-Training covers all training texts. These are written as unit numbers, dealt into shards by a hash of the text
-and its id, and trained on in ROUNDS synchronised rounds: in a round each shard begins with the same vectors and
-goes through its tokens in steps of stochastic gradients, classes against NOISE classes drawn from their
-frequencies and units against UNIT_NOISE units of other tokens of the class; each vector then becomes the average
-of the shards, weighted by how often they changed it. Few shards are trained on in every round, many in turn. Order,
+Training covers all training texts, ROUNDS times at every size. These are written as unit numbers, dealt into shards
+by a hash of the text and its id, and trained on in ROUNDS synchronised rounds: in a round each shard begins
+with the same vectors and goes through its tokens in steps of stochastic gradients, classes against NOISE classes drawn
+from their frequencies and units against UNIT_NOISE units of other tokens of the class; each vector then becomes the
+average of the shards, weighted by how often they changed it. Only the number of shards grows with the input. Order,
 random numbers and sums depend on the shards only, so the result does not depend on partitions.
 
 Scoring: words above 1/HOT of all tokens (so HOT at most) are sent to every task with their counts. The other
@@ -47,7 +47,7 @@ END_CLASS = CLASSES - 1
 HEADS, LEAST = 20_000, 3
 HOT = 1_000_000
 DIM, UNIT_DIM, NOISE, UNIT_NOISE, STEP = 16, 8, 24, 4, 8192
-ROUNDS, SHARD_TOKENS, MOST_SHARDS, BUFFER = 5, 1_000_000, 20_000, 1 << 18
+ROUNDS, SHARD_TOKENS, BUFFER = 5, 1_000_000, 1 << 18
 #: Blocks of vectors that are averaged apart, and shards whose sums one task adds.
 BLOCKS, FAN = 16, 32
 LOG10 = float(np.log(10))
@@ -212,14 +212,13 @@ class Trainer:
             self.changes[part][where] += n
         self._move("unit_context", one, d_x)
 
-    def learn(self, units: np.ndarray, passes: int = 1) -> None:
+    def learn(self, units: np.ndarray) -> None:
         """Goes through some texts' units, each text closed by its end, in random order."""
         two, one = self.v.before(units)
-        for _ in range(passes):
-            order = self.rng.permutation(len(units))
-            for low in range(0, len(order), STEP):
-                pick = order[low : low + STEP]
-                self.step(two[pick], one[pick], units[pick])
+        order = self.rng.permutation(len(units))
+        for low in range(0, len(order), STEP):
+            pick = order[low : low + STEP]
+            self.step(two[pick], one[pick], units[pick])
 
 
 def no_squares(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -323,9 +322,7 @@ def train(docs: DataFrame, v: Vocabulary, tokens: int) -> dict[str, np.ndarray]:
     square = no_squares(p)
     if not tokens:
         return p
-    shards = max(1, -(-tokens // max(SHARD_TOKENS, tokens // MOST_SHARDS)))
-    turns = min(ROUNDS, max(1, shards // 8))
-    passes = max(1, min(8, SHARD_TOKENS // (2 * tokens)))
+    shards = -(-tokens // SHARD_TOKENS)
     held = common.table(encoded(docs, v, shards), "units")
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((v, p, square))
@@ -336,7 +333,7 @@ def train(docs: DataFrame, v: Vocabulary, tokens: int) -> dict[str, np.ndarray]:
             shard, trainer, waiting, size = None, None, [], 0
 
             def finish() -> pa.RecordBatch:
-                trainer.learn(np.concatenate(waiting), passes)
+                trainer.learn(np.concatenate(waiting))
                 cells = np.array_split(_packed(v, trainer.p, trainer.square, trainer.changes), BLOCKS)
                 return pa.RecordBatch.from_arrays([pa.array([shard] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in cells], pa.binary())], ["shard", "block", "payload"])
 
@@ -347,26 +344,24 @@ def train(docs: DataFrame, v: Vocabulary, tokens: int) -> dict[str, np.ndarray]:
                             yield finish()
                         shard, trainer, waiting, size = s, Trainer(v, p, square, (turn, s)), [], 0
                     elif size >= BUFFER:
-                        trainer.learn(np.concatenate(waiting), passes)
+                        trainer.learn(np.concatenate(waiting))
                         waiting, size = [], 0
                     waiting.append(np.frombuffer(units.as_buffer(), np.uint16).astype(np.int64))
                     size += len(waiting[-1])
             if shard is not None:
                 yield finish()
 
-        own = held.filter(F.pmod("shard", F.lit(turns)) == turn % turns)
-        n = -(-shards // turns)
-        sums = own.repartition(n, "shard").sortWithinPartitions("shard", "key").select("shard", "units").mapInArrow(run, "shard int, block int, payload binary")
+        n = shards
+        sums = held.repartition(n, "shard").sortWithinPartitions("shard", "key").select("shard", "units").mapInArrow(run, "shard int, block int, payload binary")
 
         def add(key: tuple, table: pa.Table) -> pa.Table:
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([_added(table).tobytes()], pa.binary())})
 
         while True:
             n = -(-n // FAN)
-            sums = sums.groupBy(F.floor(F.col("shard") / (turns * FAN)).cast("int").alias("up"), "block").applyInArrow(add, "shard int, block int, payload binary")
+            sums = sums.groupBy(F.floor(F.col("shard") / FAN).cast("int").alias("up"), "block").applyInArrow(add, "shard int, block int, payload binary")
             if n == 1:
                 break
-            sums = sums.withColumn("shard", F.col("shard") * turns)  # numbers as before, one level up
         rows = sums.orderBy("block").collect()  # the model's own size
         p, square = _unpacked(np.concatenate([np.frombuffer(r["payload"], np.float32) for r in rows]), p, square)
         sent.unpersist()

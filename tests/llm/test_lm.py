@@ -177,6 +177,25 @@ def test_order_matters_and_partitions_do_not(spark, monkeypatch):
     assert mean(got["mixed"], "score") < mean(a, "score") - 0.2
 
 
+@pytest.mark.parametrize("shard_tokens", [200, 1000, 1_000_000])
+def test_each_token_is_trained_on_alike_at_every_size(spark, monkeypatch, shard_tokens):
+    """In each round, whether there is one shard or many; each token changes two contexts."""
+    monkeypatch.setattr(L, "SHARD_TOKENS", shard_tokens)
+    rows = corpus(random.Random(2), 150)
+    w = L.Words(common.texts_of(pa.array([t for _, t in rows])))
+    n = int((w.texts.n_words + 1).sum())
+    v, changes, real = some_vocabulary(), [], L._unpacked
+
+    def unpacked(flat, p, square):
+        x = p["context"]
+        changes.append(float(flat[: len(x) * (x.shape[1] + 2)].reshape(len(x), -1)[:, 0].sum()))
+        return real(flat, p, square)
+
+    monkeypatch.setattr(L, "_unpacked", unpacked)
+    L.train(docs(spark, rows), v, n)
+    assert changes == [2 * n] * L.ROUNDS
+
+
 SF = "/root/testdata/sf0.01/documents.parquet"
 
 
