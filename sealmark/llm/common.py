@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 try:
-    _trim = ctypes.CDLL(None).malloc_trim
+    _trim, _mallopt = ctypes.CDLL(None).malloc_trim, ctypes.CDLL(None).mallopt
 except (AttributeError, OSError):  # another C library
-    _trim = None
+    _trim = _mallopt = None
 
 #: Bytes of text that one vectorised step looks at (a longer single text makes its own step).
 STEP_BYTES = 1 << 19
@@ -106,6 +106,13 @@ def release() -> None:
         _trim(0)
 
 
+def hoard() -> None:
+    """From now on this Python worker keeps up to 64 MB of freed memory until release(), for steps that free and get the same arrays again and again."""
+    if _mallopt is not None:
+        _mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+        _mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, at its most
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow, with freed memory released after each batch and at the end."""
 

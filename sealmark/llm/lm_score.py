@@ -28,7 +28,7 @@ no text is shuffled. Null and empty texts have only the end. Without training te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,6 +72,14 @@ class Words:
         self.texts = t = Texts(column, lower=True)
         self.hash = t.word_hash.view(np.int64)
         self.kind = classes_of(t) if len(self.hash) else np.empty(0, np.int64)
+        self.order = np.argsort(self.hash)
+
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words whose hash is one of the ascending keys, and the places of these keys; looked up in order, which stays in cache."""
+        h = self.hash[self.order]
+        at = np.searchsorted(keys, h)
+        known = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h) if len(keys) else np.empty(0, np.int64)
+        return self.order[known], at[known]
 
 
 @dataclass
@@ -108,10 +116,8 @@ class Vocabulary:
         """The units of all tokens with the ends, and the places of the words among them."""
         t = w.texts
         unit = self.start[w.kind]
-        if len(self.heads):
-            at = np.minimum(np.searchsorted(self.heads, w.hash), len(self.heads) - 1)
-            known = self.heads[at] == w.hash
-            unit[known] = self.head_unit[at[known]]
+        known, at = w.found(self.heads)
+        unit[known] = self.head_unit[at]
         out = np.full(int((t.n_words + 1).sum()), self.end)
         where = np.arange(len(unit)) + t.doc
         out[where] = unit
@@ -137,20 +143,44 @@ def start_vectors(v: Vocabulary) -> dict[str, np.ndarray]:
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
-def _sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different indices, the sum of the rows of each, and how many each has."""
-    order = np.argsort(index.astype(np.uint16), kind="stable")  # by radix
-    index = index[order]
-    at = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-    return index[at], np.add.reduceat(rows[order], at), np.diff(np.append(at, len(index)))
+def _below(x: np.ndarray) -> None:
+    """x becomes -sigmoid(-x)."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-1, x, out=x)
+
+
+def _among(n: int, *index: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Those below n that occur, ascending, and the places of all indices among them."""
+    seen = np.zeros(n, bool)
+    for x in index:
+        seen[x] = True
+    held = np.flatnonzero(seen)
+    place = np.empty(n, np.int64)
+    place[held] = np.arange(len(held))
+    return held, [place.take(x) for x in index]
+
+
+def _sums(index: np.ndarray, columns: Iterable[np.ndarray], many: int, n: int) -> np.ndarray:
+    """The sums of the values by index (below n) of so many columns."""
+    out = np.empty((many, n), np.float32)
+    for total, x in zip(out, columns, strict=True):
+        total[:] = np.bincount(index, x, n)
+    return out
 
 
 class Trainer:
-    """Vectors in training, with the sums of squares of each row's gradients (AdaGrad by rows) and the number of changes."""
+    """Vectors in training, with the sums of squares of each row's gradients (AdaGrad by rows) and the number of changes.
+
+    A vector's numbers are columns of their own in memory (p has views of them by row): what a step gathers, multiplies
+    and adds up is then a few long arrays in cache, and no rows are sorted.
+    """
 
     def __init__(self, v: Vocabulary, p: dict[str, np.ndarray], square: dict[str, np.ndarray], seed: tuple[int, int], rate: float = 0.1):
         self.v, self.rate = v, rate
-        self.p = {k: x.copy() for k, x in p.items()}
+        self.columns = {k: x.T.copy() for k, x in p.items()}
+        self.p = {k: x.T for k, x in self.columns.items()}
         self.square = {k: x.copy() for k, x in square.items()}
         self.changes = {k: np.zeros(len(x), np.float32) for k, x in p.items()}
         self.rng = np.random.default_rng(seed)
@@ -160,64 +190,101 @@ class Trainer:
         self.unit_known = (np.log(v.count / by_class[v.unit_class]) + np.log(UNIT_NOISE)).astype(np.float32)
         self.several = np.diff(v.start)[v.unit_class] > 1
 
-    def _move(self, part: str, index: np.ndarray, gradient: np.ndarray) -> None:
-        at, g, n = _sums(index, gradient)
-        square = self.square[part]
-        square[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        self.p[part][at] += (self.rate / (1e-3 + np.sqrt(square[at])))[:, None] * g
+    def _move(self, part: str, at: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
+        """Moves the vectors at different places by the gradients g, a row for each column, which n tokens gave."""
+        square = self.square[part][at] + np.einsum("ij,ij->j", g, g) / np.float32(len(g))
+        self.square[part][at] = square
+        rate = self.rate / (np.float32(1e-3) + np.sqrt(square))
+        for column, x in zip(self.columns[part], g, strict=True):
+            column[at] += rate * x
         self.changes[part][at] += n
 
     def step(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray) -> None:
-        """One step of noise-contrastive estimation; noise classes are drawn once for its tokens, noise units for each."""
-        p, v = self.p, self.v
-        kind = v.unit_class[unit]
-        r1, r2 = p["context"][one], p["context"][two]
-        hidden = r1 * p["place"][0] + r2 * p["place"][1]
-        drawn = np.minimum(np.searchsorted(self.class_sum, self.rng.random(NOISE) * self.class_sum[-1], "right"), CLASSES - 1)
-        own, other = p["target"][kind], p["target"][drawn]
-        real = np.einsum("ij,ij->i", hidden, own) + p["bias"][kind, 0] - self.class_known[kind]
-        fake = hidden @ other.T + (p["bias"][drawn, 0] - self.class_known[drawn])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigmoid
-        down = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        d_hidden = up[:, None] * own + down @ other
-        self._move("target", np.concatenate([kind, drawn]), np.concatenate([up[:, None] * hidden, down.T @ hidden]))
-        self._move("bias", np.concatenate([kind, drawn]), np.concatenate([up, down.sum(axis=0)])[:, None])
-        place = np.stack([(d_hidden * r1).sum(axis=0), (d_hidden * r2).sum(axis=0)])
-        self._move("context", np.concatenate([one, two]), np.concatenate([d_hidden * p["place"][0], d_hidden * p["place"][1]]))
-        self._move("place", np.arange(2), place)
-
-        some = np.flatnonzero(self.several[unit])
-        if not len(some):
-            return
-        one, unit, kind = one[some], unit[some], kind[some]
-        # units of other tokens of the class in this step come as often as in training
-        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        """One step of noise-contrastive estimation for tokens by class, in random order within it; noise classes are drawn once for them, noise units for each."""
+        p, v = self.columns, self.v
+        kind = v.unit_class.take(unit)
         size = np.bincount(kind, minlength=CLASSES)
         first = np.cumsum(size) - size
-        at = first[kind][:, None] + (self.rng.random((len(unit), UNIT_NOISE), np.float32) * size[kind][:, None]).astype(np.int64)
-        noise = unit[order[np.minimum(at, (first + size)[kind][:, None] - 1)]]
-        all_units = np.concatenate([unit[:, None], noise], axis=1)
-        x, t = p["unit_context"][one], p["unit_target"][all_units]
-        s = np.einsum("ij,ikj->ik", x, t) + p["unit_bias"][all_units, 0] - self.unit_known[all_units]
-        g = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        g[:, 0] += 1
-        flat = all_units.reshape(-1)
-        rows = np.concatenate([g[:, :, None] * x[:, None, :], g[:, :, None]], axis=2).reshape(len(flat), -1)
-        where, both, n = _sums(flat, rows)
-        d_x = np.einsum("ik,ikj->ij", g, t)
-        for part, d in (("unit_target", both[:, :-1]), ("unit_bias", both[:, -1:])):
-            square = self.square[part]
-            square[where] += np.einsum("ij,ij->i", d, d) / d.shape[1]
-            p[part][where] += (self.rate / (1e-3 + np.sqrt(square[where])))[:, None] * d
-            self.changes[part][where] += n
-        self._move("unit_context", one, d_x)
+        held, (one, two) = _among(len(v.unit_class), one, two)
+        times = np.bincount(one, minlength=len(held)), np.bincount(two, minlength=len(held))
+        near = np.stack([c.take(held, mode="clip") for c in p["context"]], axis=1)
+        r = [np.ascontiguousarray(near.take(x, axis=0, mode="clip").T) for x in (one, two)]
+        place = p["place"].copy()
+        hidden = np.empty((DIM, len(unit)), np.float32)
+        for h, a, b, (x, y) in zip(hidden, *r, place, strict=True):
+            np.multiply(a, x, out=h)
+            h += b * y
+        drawn = np.minimum(np.searchsorted(self.class_sum, self.rng.random(NOISE) * self.class_sum[-1], "right"), CLASSES - 1)
+        own, other = np.repeat(p["target"], size, axis=1), p["target"][:, drawn]
+        level = p["bias"][0] - self.class_known
+        up = np.einsum("ij,ij->j", hidden, own) + np.repeat(level, size)
+        up = 1 / (1 + np.exp(np.clip(up, -30, 30)))  # 1 - sigmoid
+        down = -other.T @ hidden
+        down -= level[drawn, None]
+        _below(down)
+        own *= up
+        own += other @ down
+        d_hidden, kinds = own, np.flatnonzero(size)
+        g = np.zeros((DIM + 1, CLASSES), np.float32)
+        g[:DIM, kinds] = np.add.reduceat(hidden * up, first[kinds], axis=1)
+        g[DIM, kinds] = np.add.reduceat(up, first[kinds])
+        for c, x in zip(drawn, np.concatenate([down @ hidden.T, down.sum(axis=1, keepdims=True)], axis=1), strict=True):
+            g[:, c] += x
+        all_times = size + np.bincount(drawn, minlength=CLASSES)
+        at = np.flatnonzero(all_times)
+        self._move("target", at, all_times[at], g[:DIM, at])
+        self._move("bias", at, all_times[at], g[DIM:, at])
+        near, far = (_sums(x, d_hidden, DIM, len(held)) for x in (one, two))
+        near *= place[:, :1]
+        near += far * place[:, 1:]
+        self._move("context", held, times[0] + times[1], near)
+        self._move("place", np.arange(2), 1, np.array([[d @ x for x in c] for d, *c in zip(d_hidden, *r, strict=True)], np.float32))
+
+        some = self.several.take(unit)
+        if not some.all():
+            one, unit = one[some], unit[some]
+            size = size * (np.diff(v.start) > 1)
+            first = np.cumsum(size) - size
+        if not len(unit):
+            return
+        # Units of other tokens of the class in this step come as often as in training. Those of a class stand together, in
+        # random order: each takes the one so many places on, round the class, so that sums are gathered by the way back.
+        held_units, (place,) = _among(len(v.unit_class), unit)
+        low, room = np.repeat(first, size), np.repeat(size, size)
+        far = np.repeat((self.rng.random((UNIT_NOISE, CLASSES)) * size).astype(np.int64), size, axis=1)
+        nth = np.arange(len(unit)) - low
+        on, back = nth + far, nth - far
+        on -= room * (on >= room)
+        back += room * (back < 0)
+        on += low
+        back += low
+        x = [c.take(held, mode="clip").take(one, mode="clip") for c in p["unit_context"]]
+        t = [c.take(held_units, mode="clip").take(place, mode="clip") for c in p["unit_target"]]
+        level = (self.unit_known - p["unit_bias"][0]).take(held_units).take(place, mode="clip")
+        real, fake = level.copy(), level.take(on, mode="clip")
+        noise = [c.take(on, mode="clip") for c in t]
+        for a, b, c in zip(x, t, noise, strict=True):
+            real -= a * b
+            fake -= a * c
+        _below(real)
+        real += 1
+        _below(fake)
+        back += np.arange(UNIT_NOISE)[:, None] * len(unit)
+        g = _sums(place, (real * a + (fake * a).take(back, mode="clip").sum(axis=0) for a in (*x, np.float32(1))), UNIT_DIM + 1, len(held_units))
+        times = (1 + UNIT_NOISE) * np.bincount(place, minlength=len(held_units))
+        self._move("unit_target", held_units, times, g[:-1])
+        self._move("unit_bias", held_units, times, g[-1:])
+        d_x = (real * b + np.einsum("ij,ij->j", fake, c) for b, c in zip(t, noise, strict=True))
+        self._move("unit_context", held, np.bincount(one, minlength=len(held)), _sums(one, d_x, UNIT_DIM, len(held)))
 
     def learn(self, units: np.ndarray) -> None:
         """Goes through some texts' units, each text closed by its end, in random order."""
         two, one = self.v.before(units)
+        kind = self.v.unit_class.astype(np.uint8).take(units)
         order = self.rng.permutation(len(units))
         for low in range(0, len(order), STEP):
             pick = order[low : low + STEP]
+            pick = pick[np.argsort(kind[pick], kind="stable")]  # by radix
             self.step(two[pick], one[pick], units[pick])
 
 
@@ -225,19 +292,35 @@ def no_squares(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: np.zeros(len(x), np.float32) for k, x in p.items()}
 
 
-def class_scores(p: dict[str, np.ndarray], two: np.ndarray, one: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """log P(class | two units before), by a matrix product for some tokens at a time."""
+def class_parts(p: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the unit one and two places before: (units, CLASSES) factors of the classes' weights, and the logarithms left out of each row."""
+    out = []
+    for k, bias in ((0, p["bias"][:, 0]), (1, np.float32(0))):
+        s = (p["context"] * p["place"][k]) @ p["target"].T + bias
+        most = s.max(axis=1)
+        s -= most[:, None]
+        out.append((np.exp(s, out=s), most))
+    return out
+
+
+def class_scores(p: dict[str, np.ndarray], two: np.ndarray, one: np.ndarray, kind: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    """log P(class | two units before). A class's weight is a product of a factor for each, so only these need exponentials, once for all tokens."""
+    (near, most_near), (far, most_far) = parts or class_parts(p)
     out = np.empty(len(kind), np.float32)
-    target, bias = np.ascontiguousarray(p["target"].T), p["bias"][:, 0]
-    near, far = p["context"] * p["place"][0], p["context"] * p["place"][1]
-    for low in range(0, len(kind), 4096):
-        at = slice(low, low + 4096)
-        s = (near[one[at]] + far[two[at]]) @ target
-        s += bias
-        s -= s.max(axis=1, keepdims=True)
-        own = s[np.arange(len(s)), kind[at]]
-        np.exp(s, out=s)
-        out[at] = own - np.log(s.sum(axis=1))
+    context = [np.ascontiguousarray(p["context"] * x) for x in p["place"]]
+    for low in range(0, len(kind), 512):  # what fits into a cache
+        a, b, c = (x[low : low + 512] for x in (one, two, kind))
+        hidden = context[0].take(a, axis=0) + context[1].take(b, axis=0)
+        own = np.einsum("ij,ij->i", hidden, p["target"].take(c, axis=0)) + p["bias"][c, 0]
+        whole = np.einsum("ij,ij->i", near.take(a, axis=0), far.take(b, axis=0))
+        few = np.flatnonzero(whole < 1e-25)  # the factors are nowhere large at once: what is lost below the least float may count
+        whole[few] = 1
+        norm = np.log(whole) + most_near[a] + most_far[b]
+        if len(few):
+            s = hidden[few] @ p["target"].T + p["bias"][:, 0]
+            most = s.max(axis=1)
+            norm[few] = most + np.log(np.exp(s - most[:, None]).sum(axis=1))
+        out[low : low + 512] = own - norm
     return out
 
 
@@ -329,6 +412,7 @@ def train(docs: DataFrame, v: Vocabulary, tokens: int) -> dict[str, np.ndarray]:
 
         @common.lean
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            common.hoard()
             v, p, square = sent.value
             shard, trainer, waiting, size = None, None, [], 0
 
@@ -446,12 +530,12 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
     hot = counts.filter((F.col("c") >= max(1, total / HOT)) & is_tail).select("h", "c").toArrow()  # HOT rows at most
     hot_h, hot_c = _by_hash(np.concatenate([head[0], hot["h"].to_numpy()]), np.concatenate([head[1], hot["c"].to_numpy()]))
     whole = float(np.log10(total + 0.5 * (distinct + 1)))
-    sent = spark.sparkContext.broadcast((v, model, unit_norms(v, model), shares, hot_h, hot_c))
+    sent = spark.sparkContext.broadcast((v, model, class_parts(model), unit_norms(v, model), shares, hot_h, hot_c))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model, norms, shares, hot_h, hot_c = sent.value
+        v, model, parts, norms, shares, hot_h, hot_c = sent.value
         tail_unit = np.zeros(len(v.unit_class), bool)
         tail_unit[v.start[:-1]] = True
         for b in batches:
@@ -460,12 +544,11 @@ def score(df: DataFrame, held: int = 1, folds: int = 5) -> DataFrame:
                 w = Words(column.slice(low, high - low))
                 t = w.texts
                 n = np.full(len(w.hash), -1)
-                if len(hot_h) and len(n):
-                    at = np.minimum(np.searchsorted(hot_h, w.hash), len(hot_h) - 1)
-                    n = np.where(hot_h[at] == w.hash, hot_c[at], -1)
+                known, at = w.found(hot_h)
+                n[known] = hot_c[at]
                 units, where = v.units(w)
                 two, one = v.before(units)
-                own = (class_scores(model, two, one, v.unit_class[units]) + unit_scores(v, model, norms, one, units)).astype(float) / LOG10
+                own = (class_scores(model, two, one, v.unit_class[units], parts) + unit_scores(v, model, norms, one, units)).astype(float) / LOG10
                 known = np.flatnonzero((n >= 0) & tail_unit[units[where]])
                 own[where[known]] += shares.seen(n[known], w.kind[known])
                 base = np.where(n >= 0, np.log10(np.maximum(n, 0) + 0.5) - whole, 0)

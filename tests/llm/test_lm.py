@@ -106,6 +106,76 @@ def test_training_learns_contexts():
     assert after[0] > 0.4 * before[0] and after[1] > 0.5 * before[1]
 
 
+def plain_step(t, two, one, unit, rate=0.1):
+    """A step token by token in Python, for tokens by class: the vectors after it, and how often each was changed."""
+    v, p, rng = t.v, {k: x.astype(float) for k, x in t.p.items()}, t.rng
+    kind, sigmoid = v.unit_class[unit], lambda x: 1 / (1 + math.exp(-x))
+    g, n = {k: np.zeros(x.shape) for k, x in p.items()}, {k: np.zeros(len(x)) for k, x in p.items()}
+
+    def add(part, at, x):
+        g[part][at] += x
+        n[part][at] += 1
+
+    drawn = np.searchsorted(t.class_sum, rng.random(L.NOISE) * t.class_sum[-1], "right")
+    rows = {int(k): np.flatnonzero(kind == k) for k in set(kind[t.several[unit]].tolist())}
+    size = np.array([len(rows.get(k, ())) for k in range(L.CLASSES)])
+    turns = [(rng.random((L.UNIT_NOISE, L.CLASSES)) * size).astype(int)] if rows else []
+    for i, (a, b, u) in enumerate(zip(two, one, unit)):
+        hidden, d = p["context"][b] * p["place"][0] + p["context"][a] * p["place"][1], np.zeros(L.DIM)
+        for real, c in [(1, kind[i]), *((0, c) for c in drawn)]:
+            e = real - sigmoid(hidden @ p["target"][c] + p["bias"][c, 0] - t.class_known[c])
+            d += e * p["target"][c]
+            g["target"][c] += e * hidden
+            g["bias"][c] += e
+        add("context", b, d * p["place"][0])
+        add("context", a, d * p["place"][1])
+        g["place"] += d * np.stack([p["context"][b], p["context"][a]])
+        if t.several[u]:
+            mine = rows[int(kind[i])]
+            others = [unit[mine[(np.searchsorted(mine, i) + w[kind[i]]) % len(mine)]] for w in turns[0]]
+            x, d = p["unit_context"][b], np.zeros(L.UNIT_DIM)
+            for real, c in [(1, u), *((0, c) for c in others)]:
+                e = real - sigmoid(x @ p["unit_target"][c] + p["unit_bias"][c, 0] - t.unit_known[c])
+                d += e * p["unit_target"][c]
+                add("unit_target", c, e * x)
+                add("unit_bias", c, e)
+            add("unit_context", b, d)
+    n["target"] = n["bias"] = np.bincount(kind, minlength=L.CLASSES) + np.bincount(drawn, minlength=L.CLASSES)
+    n["place"] += 1
+    return {k: p[k] + rate / (1e-3 + np.sqrt(t.square[k] + (g[k] ** 2).mean(axis=1)))[:, None] * g[k] for k in p}, n
+
+
+def test_a_step_equals_one_token_by_token():
+    v = some_vocabulary()
+    for units in (np.random.default_rng(6).integers(0, v.end + 1, 300), np.full(3, v.end)):
+        t, other = (L.Trainer(v, some_vectors(v), {k: x + 0.5 for k, x in L.no_squares(some_vectors(v)).items()}, (3, 1)) for _ in range(2))
+        two, one = v.before(units)
+        order = np.argsort(v.unit_class[units], kind="stable")
+        want, n = plain_step(other, two[order], one[order], units[order])
+        t.step(two[order], one[order], units[order])
+        for k in want:
+            assert np.allclose(t.p[k], want[k], atol=2e-4), k
+            assert np.array_equal(t.changes[k], n[k]), k
+
+
+def test_scores_take_no_exponentials_for_each_token(monkeypatch):
+    """Not even of weights of which one factor or the other is all but nothing."""
+    v = some_vocabulary()
+    r = np.random.default_rng(2)
+    two, one, unit = r.integers(0, v.end + 1, (3, 4000))
+    for scale in (1, 40):
+        p = some_vectors(v)
+        p["context"] *= scale
+        parts, made, real = L.class_parts(p), [], np.exp
+        monkeypatch.setattr(np, "exp", lambda x, *a, **k: made.append(np.size(x)) or real(x, *a, **k))
+        got = L.class_scores(p, two, one, v.unit_class[unit], parts)
+        monkeypatch.undo()
+        s = (p["context"][one] * p["place"][0] + p["context"][two] * p["place"][1]).astype(float) @ p["target"].T.astype(float) + p["bias"][:, 0]
+        want = s[np.arange(len(s)), v.unit_class[unit]] - s.max(axis=1) - np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1))
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+        assert bool(made) == (scale > 1)
+
+
 def test_rows_that_nothing_changes_stay():
     v = some_vocabulary()
     p = some_vectors(v)
