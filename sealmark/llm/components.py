@@ -177,13 +177,18 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
     compared with leaders of other components, and a leader that all were compared with leaves; once
     few pairs are left (or after `stars` rounds) those pairs between different components are whose sets
     have enough elements that any other set has: a thirty-second of them first, then an eighth, then the rest.
+    Shuffle files and tables of steps that are over are freed between the steps.
     """
+    spark = bands.sparkSession
     sizes = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = common.table(met(bands, sizes, "band-sizes"), "shared-bands")
     weight = shared.groupBy("node").agg(F.sum("size").alias("w"))
     rows = common.table(shared.select("node", "band").join(weight, "node"), "band-rows")
+    common.drop_table(shared)
+    common.sweep(spark)
     colliding = common.maybe_broadcast(rows.select("node").distinct(), broadcast_rows)
     sets = common.table(sets.join(colliding, "node").groupBy("node").agg(F.min("set").alias("set")), "sets")
+    common.sweep(spark)
 
     def checked(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -202,14 +207,17 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
     leader = rows.groupBy("band").agg(F.max(F.struct("w", "node")).alias("l"))
     pick = met(rows, leader, "leaders").filter(F.col("node") != F.col("l.node")).groupBy("node").agg(F.max("l")["node"].alias("to"))
     links, tried = checked(pick.select(F.col("node").alias("a"), F.col("to").alias("b")), None)
+    common.sweep(spark)
     comps = components(links)
     rows = mixed(rows, comps)
+    common.sweep(spark)
     if rows.isEmpty():
         return comps, links
     pairs, done, sizes = rare_pairs(rows, sets, threshold, rare)
     new, tried = checked(pairs, tried)
     links = links.union(new)
     rows = common.table(several(rows.join(done, "node", "left_anti")), "mixed-bands")
+    common.sweep(spark)
     for _ in range(stars):
         per = rows.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
         left, size = per.agg(F.sum(F.expr("n * n - same")) / 2, F.sum("n")).first()
@@ -234,6 +242,7 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
         pairs = a.join(b, (F.col("banda") == F.col("bandb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & part & enough & first)
         new, tried = checked(pairs.select("a", "b"), tried)
         links = links.union(new)
+        common.sweep(spark)
         if high < PARTS:
             rows = mixed(rows, components(links))
     return components(links), links

@@ -123,6 +123,17 @@ def test_similar_groups_compares_what_is_left(spark):
     assert {x["node"]: x["comp"] for x in comps.collect()} == {k: 0 if k < 12 else 12 for k in range(24)}
 
 
+def test_similar_groups_frees_what_is_over(spark, monkeypatch):
+    """Shuffle files between the steps, and the table of bands that more than one node has once its rows are written."""
+    dropped, swept, drop, sweep = [], [], common.drop_table, common.sweep
+    monkeypatch.setattr(common, "drop_table", lambda df: dropped.extend(df.inputFiles()) or drop(df))
+    monkeypatch.setattr(common, "sweep", lambda spark: swept.append(1) or sweep(spark))
+    sets = [np.arange(k * 2, k * 2 + 20, dtype=np.uint32).tobytes() for k in range(12)]
+    comps, _ = similar_groups(spark.createDataFrame([(k, 7) for k in range(12)], "node bigint, band bigint"), spark.createDataFrame(list(enumerate(sets)), "node bigint, set binary"), 0.8)
+    assert {x["comp"] for x in comps.collect()} == {0}
+    assert any("shared-bands" in x for x in dropped) and len(swept) >= 4
+
+
 def test_classes_have_no_partial_counts(spark):
     assert N.classes(docs(spark, [(k, "the same text stands here twice") for k in (1, 2)])).columns == ["doc_id", "class_id"]
 
