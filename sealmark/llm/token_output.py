@@ -7,7 +7,8 @@ documents opens the row groups and pages of their ids only, and a reader of meta
 
 Encoding is the tokenizers library's. White space other than single spaces and line feeds between other
 characters, and added tokens, go to it whole; the rest of a text is cut where the vocabulary's own rule
-always cuts (before a space, around a line feed), and each different piece is encoded once per batch.
+always cuts (before a space, around a line feed), and each different piece is looked up and encoded once per batch:
+Arrow numbers the pieces and puts their ids together. Of a word of letters only the library's merges are needed.
 
 Null and empty texts have only the end id. Documents with equal ids stay separate rows, ordered by text.
 Null ids come first. An empty input makes an empty table.
@@ -19,10 +20,10 @@ import string
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,6 +34,19 @@ from . import common
 REMEMBERED = 900_000
 #: Bytes of text of a shard at most, or fewer with more shuffle partitions.
 SHARD_BYTES = 128 << 20
+#: White space as str.split has it, at an end of a text, beside other, or other than space and line feed.
+ODD = "^[ \n]|[ \n]$|[ \n][ \n]|[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "]"
+
+
+#: Below it all that str.isalpha takes is a letter to the vocabulary's rule, too.
+LATIN = "\u0250"
+#: The signs that a byte-level vocabulary has for bytes: themselves where they can be seen, else those from 256 on.
+_seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SIGNS = {b: chr(b) for b in _seen} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(_seen)))}
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -45,34 +59,67 @@ class Encoder:
         self.seen: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
         self.met = np.zeros(1 << 24, bool)
+        self.tokenizer.model._resize_cache(0)  # pieces that come again are remembered here
+        self.tokenize = self.tokenizer.model.tokenize
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The first word, and each other word with the line feed before it or, implied, the space; or None.
+    def plain(self, column: pa.Array) -> np.ndarray:
+        """Of each text, whether it has words and single spaces and line feeds between them only, and no added token.
 
-        The library encodes such pieces independently. None: other or double white space, or an added token.
+        The library encodes the first word, and each other word with the space or line feed before it, independently.
         """
-        words = text.split()
-        n = len(words) - 1
-        if n != text.count(" ") + text.count("\n") or sum(map(len, words)) + n != len(text) or any(a in text for a in self.added):
-            return None
-        return text.replace("\n", " \n").split(" ")
+        odd = [pc.match_substring_regex(column, ODD), pc.equal(column, ""), *(pc.match_substring(column, a) for a in self.added)]
+        return ~np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in odd])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed."""
-        cut = [self.pieces(t) if t else None for t in texts]
-        whole = [k for k, c in enumerate(cut) if c is None]
-        out: list = [b""] * len(texts)
-        for k, e in zip(whole, self._library([texts[k] for k in whole]), strict=True):
-            out[k] = e
-        firsts = [k for k, c in enumerate(cut) if c]
-        rest = {k: cut[k][1:] for k in firsts}
-        added = self._learn(set(chain.from_iterable(rest.values())).difference(self.seen))
-        get = self.seen.__getitem__
-        for k, head in zip(firsts, self._library([cut[k][0] for k in firsts]), strict=True):
-            out[k] = head + b"".join(map(get, rest[k]))
+        ids, at = self.ids(common.texts_of(pa.array(texts, pa.large_string())))
+        return [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a large_string column without nulls, and where each text's begin and end.
+
+        Equal pieces are found by Arrow's dictionaries; each different one is looked up once.
+        """
+        plain = self.plain(column)
+        cut = pc.split_pattern(pc.replace_substring(column.filter(pa.array(plain)), "\n", " \n"), " ")
+        cuts = cut.offsets.to_numpy()
+        pieces = cut.flatten().dictionary_encode()
+        which = pieces.indices.to_numpy().astype(np.int64)
+        first = np.zeros(len(which), bool)
+        first[cuts[:-1] - cuts[0]] = True
+        rest = np.zeros(len(pieces.dictionary), bool)
+        rest[which[~first]] = True
+        rest = np.flatnonzero(rest)
+        words = _strings(pieces.dictionary.take(pa.array(rest)))
+        got = list(map(self.seen.get, words))
+        new = [k for k, x in enumerate(got) if x is None]
+        added = self._learn([words[k] for k in new])
+        for k in new:
+            got[k] = self.seen[words[k]]
+        heads, head = np.unique(which[first], return_inverse=True)
+        # entries: the different pieces after a first word, the different first words, the other texts
+        entries = [
+            *got,
+            *self._library(_strings(pieces.dictionary.take(pa.array(heads)))),
+            *self._library(_strings(column.filter(pa.array(~plain)))),
+        ]
         self._forget(added)
-        return out
+        entry = np.empty(len(pieces.dictionary), np.int64)
+        entry[rest] = np.arange(len(rest))
+        which = entry[which] if len(which) else which
+        which[first] = len(rest) + head
+        n_pieces = np.ones(len(column), np.int64)
+        n_pieces[plain] = np.diff(cuts)
+        ends = np.append(0, np.cumsum(n_pieces))
+        order = np.empty(ends[-1], np.int64)
+        whole = np.zeros(len(order), bool)
+        whole[ends[:-1][~plain]] = True
+        order[whole] = len(rest) + len(heads) + np.arange(len(column) - plain.sum())
+        order[~whole] = which
+        edges = np.append(0, np.cumsum(np.fromiter(map(len, entries), np.int64, len(entries)) // 4))
+        lists = pa.LargeListArray.from_arrays(edges, np.frombuffer(b"".join(entries), np.int32)).take(pa.array(order))
+        return lists.values.to_numpy(), lists.offsets.to_numpy()[ends]
 
     def _forget(self, added: list[str]) -> None:
         """Of new pieces, keeps all while there is much room, then those met before, then none."""
@@ -85,8 +132,8 @@ class Encoder:
             if not keep:
                 del self.seen[w]
 
-    def _learn(self, words: set[str]) -> list[str]:
-        """Puts words into seen; returns those that were not there.
+    def _learn(self, words: list[str]) -> list[str]:
+        """Puts words that are not there into seen; returns what was put.
 
         A letter or digit and the punctuation after it are always cut, so a word that ends in
         punctuation is its beginning and its end, and only new beginnings go to the library.
@@ -101,13 +148,21 @@ class Encoder:
             else:
                 need.add(w)
         new = list(need.difference(self.seen))
-        self.seen.update(zip(new, self._listed(new), strict=True))
+        letters = [w for w in new if w.isalpha() and (w.isascii() or max(w) < LATIN)]
+        others = list(set(new).difference(letters))
+        self.seen.update(zip(letters, map(self._lettered, letters)))
+        self.seen.update(zip(others, self._listed(others), strict=True))
         ends = self.ends
         fresh = [w[len(base) :] for w, base in split if w[len(base) :] not in ends]
         ends.update(zip(fresh, self._library(fresh), strict=True))
         self.seen.update((w, self.seen[base] + ends[w[len(base) :]]) for w, base in split)
         return [*new, *(w for w, _ in split)]
 
+    def _lettered(self, word: str) -> bytes:
+        """Ids of a space and letters: one piece to the vocabulary's rule, so that the library's merges have the rest to do."""
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(SIGNS)
+        return np.array([t.id for t in self.tokenize(SIGNS[32] + signs)], np.int32).tobytes()
+
     def _listed(self, words: list[str], lines: int = 2000) -> list[bytes]:
         """Ids of words with what stands before them, many to a text, a line each."""
         out: list[bytes] = []
@@ -149,13 +204,14 @@ def encode(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         coder, done = encoder(path), 0
         for b in batches:
             column = common.texts_of(b.column(1))
-            for low, high in common.steps(column, 1 << 19):
-                ids = coder.encode(column.slice(low, high - low).to_pylist())
-                n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-                at = np.zeros(len(ids) + 1, np.int64)
-                np.cumsum(n, out=at[1:])
-                end = np.int32(end_id).tobytes()
-                flat = np.frombuffer(end.join([*ids, b""]), np.int32)
+            for low, high in common.steps(column, 1 << 20):
+                ids, at = coder.ids(column.slice(low, high - low))
+                n = np.diff(at) + 1
+                at = at + np.arange(len(at))
+                flat = np.full(at[-1], end_id, np.int32)
+                inner = np.ones(len(flat), bool)
+                inner[at[1:] - 1] = False
+                flat[inner] = ids
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
                 place = pa.array(np.arange(done, done + len(n)))
                 done += len(n)

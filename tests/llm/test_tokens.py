@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -38,6 +39,43 @@ def test_encoder_forgets(monkeypatch):
     assert len(e.seen) <= 400
 
 
+class Counted(dict):
+    looked = 0
+
+    def __getitem__(self, key):
+        self.looked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.looked += 1
+        return super().get(key, default)
+
+
+def test_a_piece_is_looked_up_once_however_often_it_comes():
+    e = T.Encoder(BPE)
+    texts = [" ".join(["Größe", "ªº", "word", "it's,", f"own{k}"] * 50) + "\nword" for k in range(20)]
+    e.seen = Counted()
+    ids, at = e.ids(pa.array(["not this", *texts], pa.large_string()).slice(1))
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == want
+    assert e.seen.looked < 200  # of 5020 words, 27 different
+
+
+def test_all_white_space_goes_to_the_library_whole():
+    e = T.Encoder(BPE)
+    space = [chr(k) for k in range(0x110000) if chr(k).isspace()]
+    texts = [t for s in space for t in (f"a{s}b", f"a {s}b", f"{s}a", f"a{s}")]
+    assert e.plain(pa.array(["a b\nc", *texts], pa.large_string())).tolist() == [True, *(t in ("a b", "a\nb") for t in texts)]
+    assert [np.frombuffer(b, np.int32).tolist() for b in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_letters_are_pieces_of_their_own():
+    e = T.Encoder(BPE)
+    words = [chr(k) + "a" + chr(k) for k in range(0x21, 0x2000) if chr(k).isalpha()]
+    text = "a " + " ".join(words)
+    assert np.frombuffer(e.encode([text])[0], np.int32).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_files_round_trip(spark, tmp_path):
     rows = [*edge_rows(), *((k, prose(random.Random(k), 40)) for k in range(100, 160))]
     path = str(tmp_path / "tokens")
