@@ -28,7 +28,9 @@ no text is shuffled. Null and empty texts have only the end. Without training te
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,7 +74,10 @@ class Words:
         self.texts = t = Texts(column, lower=True)
         self.hash = t.word_hash.view(np.int64)
         self.kind = classes_of(t) if len(self.hash) else np.empty(0, np.int64)
-        self.order = np.argsort(self.hash)
+
+    @functools.cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.hash)
 
     def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words whose hash is one of the ascending keys, and the places of these keys; looked up in order, which stays in cache."""
@@ -145,8 +150,8 @@ def start_vectors(v: Vocabulary) -> dict[str, np.ndarray]:
 
 def _below(x: np.ndarray) -> None:
     """x becomes -sigmoid(-x)."""
-    np.clip(x, -30, 30, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):  # -1 / inf is right
+        np.exp(x, out=x)
     x += 1
     np.divide(-1, x, out=x)
 
@@ -162,25 +167,34 @@ def _among(n: int, *index: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return held, [place.take(x) for x in index]
 
 
-def _sums(index: np.ndarray, columns: Iterable[np.ndarray], many: int, n: int) -> np.ndarray:
-    """The sums of the values by index (below n) of so many columns."""
-    out = np.empty((many, n), np.float32)
-    for total, x in zip(out, columns, strict=True):
-        total[:] = np.bincount(index, x, n)
+def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows by index (below n); numbers are added in pairs, as complex ones."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    for total, x in zip(out.view(np.complex64).T, rows.view(np.complex64).T, strict=True):
+        np.add.at(total, index, x)
     return out
 
 
+def _dots(x: np.ndarray) -> np.ndarray:
+    """The sums along the last axis, which is short, by a matrix product."""
+    return x @ np.ones(x.shape[-1], np.float32)
+
+
+def _wide(x: np.ndarray, columns: int) -> np.ndarray:
+    """So many columns of x, as an array of its own: numpy is slow to spread numbers over short rows."""
+    return np.repeat(x, columns).reshape(-1, columns)
+
+
 class Trainer:
     """Vectors in training, with the sums of squares of each row's gradients (AdaGrad by rows) and the number of changes.
 
-    A vector's numbers are columns of their own in memory (p has views of them by row): what a step gathers, multiplies
-    and adds up is then a few long arrays in cache, and no rows are sorted.
+    A step gathers the rows that it needs once, and works on these few: rows move as a whole, and what is multiplied
+    and added up are whole blocks of them.
     """
 
     def __init__(self, v: Vocabulary, p: dict[str, np.ndarray], square: dict[str, np.ndarray], seed: tuple[int, int], rate: float = 0.1):
         self.v, self.rate = v, rate
-        self.columns = {k: x.T.copy() for k, x in p.items()}
-        self.p = {k: x.T for k, x in self.columns.items()}
+        self.p = {k: x.copy() for k, x in p.items()}
         self.square = {k: x.copy() for k, x in square.items()}
         self.changes = {k: np.zeros(len(x), np.float32) for k, x in p.items()}
         self.rng = np.random.default_rng(seed)
@@ -190,102 +204,105 @@ class Trainer:
         self.unit_known = (np.log(v.count / by_class[v.unit_class]) + np.log(UNIT_NOISE)).astype(np.float32)
         self.several = np.diff(v.start)[v.unit_class] > 1
 
-    def _move(self, part: str, at: np.ndarray, n: np.ndarray, g: np.ndarray) -> None:
-        """Moves the vectors at different places by the gradients g, a row for each column, which n tokens gave."""
-        square = self.square[part][at] + np.einsum("ij,ij->j", g, g) / np.float32(len(g))
+    def _move(self, part: str, at: np.ndarray, n: np.ndarray, g: np.ndarray, old: np.ndarray | None = None) -> None:
+        """Moves the vectors at different places, old if these are at hand, by the gradients g, which n tokens gave."""
+        square = self.square[part].take(at) + _dots(g * g) / np.float32(g.shape[1])
         self.square[part][at] = square
         rate = self.rate / (np.float32(1e-3) + np.sqrt(square))
-        for column, x in zip(self.columns[part], g, strict=True):
-            column[at] += rate * x
+        by = _wide(rate, g.shape[1])
+        by *= g
+        by += self.p[part].take(at, axis=0) if old is None else old
+        self.p[part][at] = by
         self.changes[part][at] += n
 
     def step(self, two: np.ndarray, one: np.ndarray, unit: np.ndarray) -> None:
         """One step of noise-contrastive estimation for tokens by class, in random order within it; noise classes are drawn once for them, noise units for each."""
-        p, v = self.columns, self.v
-        kind = v.unit_class.take(unit)
-        size = np.bincount(kind, minlength=CLASSES)
+        p, v = self.p, self.v
+        size = np.bincount(v.unit_class.take(unit), minlength=CLASSES)
         first = np.cumsum(size) - size
         held, (one, two) = _among(len(v.unit_class), one, two)
         times = np.bincount(one, minlength=len(held)), np.bincount(two, minlength=len(held))
-        near = np.stack([c.take(held, mode="clip") for c in p["context"]], axis=1)
-        r = [np.ascontiguousarray(near.take(x, axis=0, mode="clip").T) for x in (one, two)]
-        place = p["place"].copy()
-        hidden = np.empty((DIM, len(unit)), np.float32)
-        for h, a, b, (x, y) in zip(hidden, *r, place, strict=True):
-            np.multiply(a, x, out=h)
-            h += b * y
+        context = p["context"].take(held, axis=0, mode="clip")
+        place = [np.repeat(x[None], len(held), axis=0) for x in p["place"]]
+        hidden = (context * place[0]).take(one, axis=0, mode="clip")
+        hidden += (context * place[1]).take(two, axis=0, mode="clip")
         drawn = np.minimum(np.searchsorted(self.class_sum, self.rng.random(NOISE) * self.class_sum[-1], "right"), CLASSES - 1)
-        own, other = np.repeat(p["target"], size, axis=1), p["target"][:, drawn]
-        level = p["bias"][0] - self.class_known
-        up = np.einsum("ij,ij->j", hidden, own) + np.repeat(level, size)
-        up = 1 / (1 + np.exp(np.clip(up, -30, 30)))  # 1 - sigmoid
-        down = -other.T @ hidden
-        down -= level[drawn, None]
+        own, other = np.repeat(p["target"], size, axis=0), p["target"][drawn]
+        level = p["bias"][:, 0] - self.class_known
+        up = _dots(hidden * own) + np.repeat(level, size)
+        np.negative(up, out=up)
+        _below(up)
+        up += 1  # 1 - sigmoid
+        down = hidden @ -other.T
+        together = math.gcd(len(down), 64)  # rows, so that loops are long
+        down.reshape(-1, together * NOISE)[:] -= np.tile(level[drawn], together)
         _below(down)
-        own *= up
-        own += other @ down
+        wide = _wide(up, DIM)
+        own *= wide
+        own += down @ other
+        wide *= hidden
         d_hidden, kinds = own, np.flatnonzero(size)
-        g = np.zeros((DIM + 1, CLASSES), np.float32)
-        g[:DIM, kinds] = np.add.reduceat(hidden * up, first[kinds], axis=1)
-        g[DIM, kinds] = np.add.reduceat(up, first[kinds])
-        for c, x in zip(drawn, np.concatenate([down @ hidden.T, down.sum(axis=1, keepdims=True)], axis=1), strict=True):
-            g[:, c] += x
+        g, g_bias = np.zeros((CLASSES, DIM), np.float32), np.zeros((CLASSES, 1), np.float32)
+        g[kinds] = np.add.reduceat(wide.view(np.complex64), first[kinds], axis=0).view(np.float32)
+        g_bias[kinds, 0] = np.add.reduceat(up, first[kinds])
+        np.add.at(g, drawn, down.T @ hidden)
+        np.add.at(g_bias[:, 0], drawn, np.ones(len(down), np.float32) @ down)
         all_times = size + np.bincount(drawn, minlength=CLASSES)
         at = np.flatnonzero(all_times)
-        self._move("target", at, all_times[at], g[:DIM, at])
-        self._move("bias", at, all_times[at], g[DIM:, at])
-        near, far = (_sums(x, d_hidden, DIM, len(held)) for x in (one, two))
-        near *= place[:, :1]
-        near += far * place[:, 1:]
-        self._move("context", held, times[0] + times[1], near)
-        self._move("place", np.arange(2), 1, np.array([[d @ x for x in c] for d, *c in zip(d_hidden, *r, strict=True)], np.float32))
+        self._move("target", at, all_times[at], g[at])
+        self._move("bias", at, all_times[at], g_bias[at])
+        near, far = (_sums(x, d_hidden, len(held)) for x in (one, two))
+        self._move("place", np.arange(2), 1, np.stack([np.ones(len(held), np.float32) @ (context * x) for x in (near, far)]))
+        near *= place[0]
+        far *= place[1]
+        near += far
+        self._move("context", held, times[0] + times[1], near, context)
 
         some = self.several.take(unit)
         if not some.all():
-            one, unit = one[some], unit[some]
+            some = np.flatnonzero(some)
+            one, unit = one.take(some), unit.take(some)
             size = size * (np.diff(v.start) > 1)
             first = np.cumsum(size) - size
         if not len(unit):
             return
         # Units of other tokens of the class in this step come as often as in training. Those of a class stand together, in
         # random order: each takes the one so many places on, round the class, so that sums are gathered by the way back.
+        # The token's own unit is the one no places on.
         held_units, (place,) = _among(len(v.unit_class), unit)
-        low, room = np.repeat(first, size), np.repeat(size, size)
-        far = np.repeat((self.rng.random((UNIT_NOISE, CLASSES)) * size).astype(np.int64), size, axis=1)
-        nth = np.arange(len(unit)) - low
-        on, back = nth + far, nth - far
-        on -= room * (on >= room)
-        back += room * (back < 0)
-        on += low
-        back += low
-        x = [c.take(held, mode="clip").take(one, mode="clip") for c in p["unit_context"]]
-        t = [c.take(held_units, mode="clip").take(place, mode="clip") for c in p["unit_target"]]
-        level = (self.unit_known - p["unit_bias"][0]).take(held_units).take(place, mode="clip")
-        real, fake = level.copy(), level.take(on, mode="clip")
-        noise = [c.take(on, mode="clip") for c in t]
-        for a, b, c in zip(x, t, noise, strict=True):
-            real -= a * b
-            fake -= a * c
-        _below(real)
-        real += 1
-        _below(fake)
-        back += np.arange(UNIT_NOISE)[:, None] * len(unit)
-        g = _sums(place, (real * a + (fake * a).take(back, mode="clip").sum(axis=0) for a in (*x, np.float32(1))), UNIT_DIM + 1, len(held_units))
+        n, here = len(unit), np.arange(len(unit))
+        nth, room = here - np.repeat(first, size), np.repeat(size, size)
+        far = np.zeros((1 + UNIT_NOISE, CLASSES), np.int64)
+        far[1:] = self.rng.random((UNIT_NOISE, CLASSES)) * size
+        far = np.repeat(far, size, axis=1)
+        on, back = here + far, here - far
+        on -= room * (far >= room - nth)
+        back += room * (far > nth)
+        back += np.arange(1 + UNIT_NOISE)[:, None] * n
+        context, target = p["unit_context"].take(held, axis=0, mode="clip"), p["unit_target"].take(held_units, axis=0, mode="clip")
+        x, t = context.take(one, axis=0, mode="clip"), target.take(place.take(on), axis=0, mode="clip")
+        level = (self.unit_known - p["unit_bias"][:, 0]).take(held_units).take(place, mode="clip")
+        e = level.take(on, mode="clip") - _dots((t * x).reshape(-1, UNIT_DIM)).reshape(on.shape)
+        _below(e)
+        e[0] += 1
+        wide = _wide(e, UNIT_DIM).reshape(t.shape)
+        t *= wide
+        wide *= x
+        g = wide.reshape(-1, UNIT_DIM).take(back, axis=0, mode="clip").sum(axis=0)
         times = (1 + UNIT_NOISE) * np.bincount(place, minlength=len(held_units))
-        self._move("unit_target", held_units, times, g[:-1])
-        self._move("unit_bias", held_units, times, g[-1:])
-        d_x = (real * b + np.einsum("ij,ij->j", fake, c) for b, c in zip(t, noise, strict=True))
-        self._move("unit_context", held, np.bincount(one, minlength=len(held)), _sums(one, d_x, UNIT_DIM, len(held)))
+        self._move("unit_target", held_units, times, _sums(place, g, len(held_units)), target)
+        g_bias = np.bincount(place, e.take(back, mode="clip").sum(axis=0), len(held_units))
+        self._move("unit_bias", held_units, times, g_bias.astype(np.float32)[:, None])
+        self._move("unit_context", held, np.bincount(one, minlength=len(held)), _sums(one, t.sum(axis=0), len(held)), context)
 
     def learn(self, units: np.ndarray) -> None:
         """Goes through some texts' units, each text closed by its end, in random order."""
         two, one = self.v.before(units)
-        kind = self.v.unit_class.astype(np.uint8).take(units)
-        order = self.rng.permutation(len(units))
-        for low in range(0, len(order), STEP):
-            pick = order[low : low + STEP]
-            pick = pick[np.argsort(kind[pick], kind="stable")]  # by radix
-            self.step(two[pick], one[pick], units[pick])
+        tokens = self.rng.permutation(self.v.unit_class.take(units) << 48 | two << 32 | one << 16 | units)  # units are 16-bit integers
+        for low in range(0, len(tokens), STEP):
+            x = tokens[low : low + STEP]
+            x = x.take(np.argsort((x >> 48).astype(np.uint8), kind="stable"))  # by radix
+            self.step(x >> 32 & 0xFFFF, x >> 16 & 0xFFFF, x & 0xFFFF)
 
 
 def no_squares(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -475,8 +492,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 some = column.slice(start, stop - start)
                 parts = [Words(some.slice(low, high - low)) for low, high in common.steps(some)]
                 h, kind = np.concatenate([w.hash for w in parts]), np.concatenate([w.kind for w in parts])
-                at, n = _distinct(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(kind[at].astype(np.int32)), pa.array(n, pa.int64())], ["h", "kind", "n"])
+                found = pa.array(h).dictionary_encode()
+                at = found.indices.to_numpy()
+                kinds = np.empty(len(found.dictionary), np.int32)
+                kinds[at] = kind  # equal words are of one class
+                yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(kinds), pa.array(np.bincount(at, minlength=len(kinds)), pa.int64())], ["h", "kind", "n"])
 
     return docs.select("text").mapInArrow(run, "h bigint, kind int, n bigint").groupBy("h").agg(F.sum("n").alias("c"), F.first("kind").alias("kind"))
 

@@ -158,6 +158,40 @@ def test_a_step_equals_one_token_by_token():
             assert np.array_equal(t.changes[k], n[k]), k
 
 
+def test_a_step_adds_rows_in_pairs_of_numbers(monkeypatch):
+    """Fewer sums by index than there are numbers to a token's vectors."""
+    v = some_vocabulary()
+    units = np.random.default_rng(6).integers(0, v.end + 1, 3000)
+    two, one = v.before(units)
+    order = np.argsort(v.unit_class[units], kind="stable")
+    t, calls, real = L.Trainer(v, some_vectors(v), L.no_squares(some_vectors(v)), (3, 1)), [], np.bincount
+
+    class Add:
+        def __getattr__(self, name):
+            return getattr(add, name)
+
+        def __call__(self, *a, **k):
+            return add(*a, **k)
+
+        def at(self, *a):
+            calls.append(a)
+            return add.at(*a)
+
+    add = np.add
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(a) or real(*a, **k))
+    monkeypatch.setattr(np, "add", Add())
+    t.step(two[order], one[order], units[order])
+    monkeypatch.undo()
+    assert len(calls) < 2 * L.DIM + 2 * L.UNIT_DIM
+
+
+def test_texts_that_are_only_counted_are_not_sorted():
+    w = L.Words(common.texts_of(pa.array(["a b c b", "", "d a", None])))
+    assert "order" not in vars(w)
+    known, at = w.found(np.sort(w.hash[[1, 4]]))
+    assert sorted(known.tolist()) == [1, 3, 4] and (np.sort(w.hash[[1, 4]])[at] == w.hash[known]).all()
+
+
 def test_scores_take_no_exponentials_for_each_token(monkeypatch):
     """Not even of weights of which one factor or the other is all but nothing."""
     v = some_vocabulary()
