@@ -6,7 +6,7 @@ partially aggregated group-by on keys, and each round's result is a table in the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,10 +165,11 @@ def met(rows: DataFrame, keyed: DataFrame, name: str, most: int = 300_000) -> Da
     return rows.join(common.maybe_broadcast(common.table(keyed, name), most), "band")
 
 
-def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: int = 3, pairs_per_row: int = 4, rare: int = 16, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def similar_groups(bands: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float, stars: int = 3, pairs_per_row: int = 4, rare: int = 16, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """((node, comp) of nodes with a link, the links found) for nodes that share a band.
 
-    bands has (node, band), one row for each; sets has (node, set). Two nodes are linked if they share
+    bands has (node, band), one row for each; sets has (node, set), or gives it for the (node) that it is called
+    with, those that share a band with another. Two nodes are linked if they share
     a band and their sets are similar. Pairs within a band are not all written out. A band's leader is
     its member that collides most. First each node is compared with one leader, the one of its bands'
     leaders that collides most. A band whose members are in one component then needs nothing more:
@@ -187,7 +188,8 @@ def similar_groups(bands: DataFrame, sets: DataFrame, threshold: float, stars: i
     common.drop_table(shared)
     common.sweep(spark)
     colliding = common.maybe_broadcast(rows.select("node").distinct(), broadcast_rows)
-    sets = common.table(sets.join(colliding, "node").groupBy("node").agg(F.min("set").alias("set")), "sets")
+    sets = sets(colliding) if callable(sets) else sets.join(colliding, "node")
+    sets = common.table(sets.groupBy("node").agg(F.min("set").alias("set")), "sets")
     common.sweep(spark)
 
     def checked(pairs: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:

@@ -117,8 +117,12 @@ def sets32(element: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+
+
 def signatures(df: DataFrame, weighted: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, bands, set): a digest of the text, its band keys and its shingles, for (doc_id, text).
+    """(doc_id, key, bands): a digest of the text and its band keys, for (doc_id, text).
 
     weighted: a shingle weighs as often as it occurs; else one.
     """
@@ -140,13 +144,30 @@ def signatures(df: DataFrame, weighted: bool = True, bands: int = BANDS, rows: i
                         b.column(0).slice(low, high - low),
                         pa.array([hashlib.md5(x.as_buffer(), usedforsecurity=False).digest() for x in part], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(keys[some].reshape(-1).view(np.int64))),
-                        pa.array(sets32(*(occurrences(element, doc, count) if weighted else (element, doc)), t.n), pa.binary()),
                     ],
-                    ["doc_id", "key", "bands", "set"],
+                    ["doc_id", "key", "bands"],
                 )
 
-    frame = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    return frame.mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>, set binary")
+    return _rows(df).mapInArrow(run, "doc_id bigint, key binary, bands array<bigint>")
+
+
+def shingle_sets(df: DataFrame, nodes: DataFrame, weighted: bool = True) -> DataFrame:
+    """(node, set): the shingles of the texts of df (doc_id, text) whose id is in nodes (node).
+
+    They are made from the texts once it is known whose are needed: those of all texts would take as much room as the texts.
+    """
+
+    @common.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = common.texts_of(b.column(1))
+            for low, high in common.steps(column):
+                t = Texts(column.slice(low, high - low))
+                element, doc, count = distinct_by_text(*t.shingles(WIDTH))
+                sets = sets32(*(occurrences(element, doc, count) if weighted else (element, doc)), t.n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return _rows(df).withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").mapInArrow(run, "node bigint, set binary")
 
 
 def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
@@ -160,7 +181,7 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, weighted: bool = True)
     nodes = common.table(keys, "texts")
     own = sig.select("doc_id", "key", "bands").join(nodes.select("node", F.col("key").alias("_key")), [F.col("key") == F.col("_key"), F.col("doc_id") == F.col("node")], "left_semi")
     bands = own.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct()
-    comps, _ = similar_groups(bands, sig.select(F.col("doc_id").alias("node"), "set"), threshold)
+    comps, _ = similar_groups(bands, lambda some: shingle_sets(df, some, weighted), threshold)
     named = nodes.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"))
     whole = sig.select("doc_id", "key").join(common.table(named, "classes"), "key").select("doc_id", "class_id")
     rest = df.filter("doc_id is null or text is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").cast("bigint").alias("class_id"))

@@ -102,6 +102,18 @@ def test_classes_equal_brute_force(spark):
     assert kept == {k for k in got if got[k] == k}
 
 
+def test_only_texts_that_share_a_band_leave_their_shingles(spark, monkeypatch):
+    r = random.Random(5)
+    text = prose(r, 300)
+    rows = [(1, text), (2, text + " more"), (2, text + " still more"), (3, text), *((k, prose(r, 200)) for k in range(10, 60))]
+    made, real = [], common.table
+    monkeypatch.setattr(common, "table", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    got = {(x["doc_id"], x["class_id"]) for x in N.classes(docs(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), *((k, k) for k in range(10, 60))}
+    held = {name: sorted(x["node"] for x in t.select("node").collect()) for name, t in made if "set" in t.columns and "node" in t.columns}
+    assert held == {"sets": [1, 2]} and not any("set" in t.columns for name, t in made if name != "sets")
+
+
 def test_many_members_few_pairs(spark):
     """A star of edits: members that reach only the middle."""
     r = random.Random(12)
